@@ -3,8 +3,7 @@
 * top rows of a key: the rank limit runs before the shuffle, so a task sends at most k
   rows of a key and the hot key's reducer gets k rows per task, not its whole group;
 * running totals and previous rows: the key's rows are cut into chunks by their order
-  column, chunks are worked on apart, and only one row per chunk meets its neighbours;
-* set comparison: every item is a shuffle key of its own, so a hot source spreads out.
+  column, chunks are worked on apart, and only one row per chunk meets its neighbours.
 """
 
 from __future__ import annotations
@@ -37,14 +36,7 @@ def span(order: Column, width: int) -> Column:
     return F.floor(order / F.lit(width))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & left[n].eqNullSafe(right[n])
-    return condition
-
-
-def _attach(df: DataFrame, heads: DataFrame, names: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, heads: DataFrame, names: Sequence[str]) -> DataFrame:
     """Left join on ``names`` that also pairs NULL keys, with the key columns once."""
     renamed = heads.select(
         *[F.col(n).alias(f"_h_{n}") for n in names],
@@ -79,7 +71,7 @@ def running_totals(
         *by_chunk, *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in totals]
     )
     inside = keyed.withColumns({n: F.sum(v).over(local) for n, v in totals.items()})
-    out = _attach(inside, heads, by_chunk).withColumns(
+    out = attach(inside, heads, by_chunk).withColumns(
         {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in totals}
     )
     return out.drop(_CHUNK, *[f"_s_{n}" for n in totals])
@@ -112,36 +104,8 @@ def previous_rows(
     tails = keyed.groupBy(*by_chunk).agg(F.max_by(carried, F.struct(*order)).alias("_tail"))
     tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_CHUNK)))
     inside = keyed.withColumn("_prev", F.lag(carried).over(local))
-    joined = _attach(inside, tails, by_chunk).withColumn("_prev", F.coalesce("_prev", "_tail"))
+    joined = attach(inside, tails, by_chunk).withColumn("_prev", F.coalesce("_prev", "_tail"))
     outputs = {name: F.col("_prev")[name] for name in previous}
     if position:
         outputs[position] = F.col("_prev").isNull()
     return joined.withColumns(outputs).drop(_CHUNK, "_prev", "_tail")
-
-
-def distinct_items(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """Distinct (key, item), partially aggregated before the shuffle."""
-    return df.select(*keys, item).distinct()
-
-
-def set_sizes(
-    df: DataFrame, keys: Sequence[str], trial: str, item: str, base: Column
-) -> DataFrame:
-    """Compare the item set of every trial with the base set of its key.
-
-    Rows with ``base`` true belong to the base set, the others to their trial. Output per
-    (key, trial): n_base, n_trial, n_both. Sets are equal when the three agree. The base
-    set is not repeated per trial: an item row carries the short list of trials it is in.
-    """
-    items = df.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(
-        F.max(base).alias("_in_base"),
-        # At most one entry per trial of the key, so the list stays short.
-        F.collect_set(F.when(~base, F.col(trial))).alias("_trials"),
-    )
-    trial_sizes = (
-        items.select(*keys, "_in_base", F.explode("_trials").alias(trial))
-        .groupBy(*keys, trial)
-        .agg(F.count(F.lit(1)).alias("n_trial"), F.count_if("_in_base").alias("n_both"))
-    )
-    base_sizes = items.groupBy(*keys).agg(F.count_if("_in_base").alias("n_base"))
-    return _attach(base_sizes, trial_sizes, list(keys))
