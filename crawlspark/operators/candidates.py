@@ -69,10 +69,12 @@ def top_candidates(
     url: str = "url",
     seq: Sequence[str] = ("source_no", "seq"),
     rank: str = "rank",
+    first: Sequence[str] = M.ATS_HOSTS,
+    second: Sequence[str] = M.CAREERS_HOST_WORDS,
 ) -> DataFrame:
     """The k best-ranked URLs of a domain; equal ranks keep their given order."""
     order = [F.col(c) for c in (*RANK_ORDER, *seq)]
-    return K.top_k_per_key(with_rank_key(df, url), keys, order, k, rank)
+    return K.top_k_per_key(with_rank_key(df, url, first, second), keys, order, k, rank)
 
 
 def top_by_marker_hits(
@@ -96,16 +98,19 @@ def choose_url(
     url: str = "url",
     k: int = 8,
     seq: Sequence[str] = ("source_no", "seq"),
+    first: Sequence[str] = M.ATS_HOSTS,
+    second: Sequence[str] = M.CAREERS_HOST_WORDS,
 ) -> DataFrame:
     """The careers URL of every domain from ranked candidates and stored answers.
 
     ``answers`` holds (url, status, ats_link), one row per URL; compute ``ats_link`` while
-    scanning the pages so that no HTML travels through the join. Only the k best candidates are looked at. A platform
-    link found on the way wins, then the strongest candidate even if it did not answer,
-    then the first that answered, then the best guess. A good answer of a strong top
-    candidate ends the look-up, so links on later pages do not count.
+    scanning the pages so that no HTML travels through the join. Only the k best
+    candidates are looked at. A platform link found on the way wins, then the strongest
+    candidate even if it did not answer, then the first that answered, then the best
+    guess. A good answer of a strong top candidate ends the look-up, so links on later
+    pages do not count.
     """
-    ranked = top_candidates(candidates, keys, k, url, seq)
+    ranked = top_candidates(candidates, keys, k, url, seq, "rank", first, second)
     probed = ranked.join(
         answers.select(F.col(url).alias("_url"), "status", "ats_link"),
         ranked[url] == F.col("_url"),
