@@ -38,21 +38,35 @@ def mistyped_fields(line: Column, fields: Sequence[str] = RECORD_FIELDS) -> Colu
 
 def scan_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Non-blank JSONL lines with their parsed ``record`` and ``is_bad``."""
-    kept = lines.where(~F.col(line).rlike(r"^\s*$"))
-    wrong = mistyped_fields(F.col(line))
-    return kept.withColumn("is_bad", wrong.isNull() | (F.size(wrong) > 0)).withColumn(
-        "record", F.when(~F.col("is_bad"), F.from_json(F.col(line), RECORD))
+    typed = non_blank(lines, line).withColumn("_wrong", mistyped_fields(F.col(line)))
+    return (
+        typed.withColumn("is_bad", F.coalesce(F.size("_wrong") != 0, F.lit(True)))
+        .withColumn("record", F.when(~F.col("is_bad"), F.from_json(F.col(line), RECORD)))
+        .drop("_wrong")
     )
 
 
-def first_bad_line(scanned: DataFrame, keys: Sequence[str], line_no: str = "line_no") -> DataFrame:
-    """Per set with a bad line: its 0-based index among the non-blank lines."""
-    firsts = scanned.where("is_bad").groupBy(*keys).agg(F.min(line_no).alias("_bad_at"))
-    before = K.attach(scanned.select(*keys, line_no), firsts, keys).where(
-        F.col("_bad_at").isNotNull()
-    )
-    return before.groupBy(*keys).agg(
-        F.count_if(F.col(line_no) < F.col("_bad_at")).alias("bad_index")
+def non_blank(lines: DataFrame, line: str = "line") -> DataFrame:
+    return lines.where(~F.col(line).rlike(r"^\s*$"))
+
+
+def bad_line_index(
+    lines: DataFrame, firsts: DataFrame, keys: Sequence[str], line: str = "line", line_no: str = "line_no"
+) -> DataFrame:
+    """0-based index, among the non-blank lines, of each set's first bad line.
+
+    ``firsts`` has one ``bad_at`` per set. Lines are counted here without parsing them
+    again; only those ahead of a bad line get past the join.
+    """
+    marks = firsts.where(F.col("bad_at").isNotNull()).select(*keys, "bad_at")
+    ahead = K.attach(marks, _before(non_blank(lines, line), marks, keys, line_no), keys)
+    return ahead.select(*keys, F.coalesce("_ahead", F.lit(0)).alias("bad_index"))
+
+
+def _before(lines: DataFrame, marks: DataFrame, keys: Sequence[str], line_no: str) -> DataFrame:
+    paired = K.attach(lines.select(*keys, line_no), marks, keys)
+    return paired.where(F.col(line_no) < F.col("bad_at")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_ahead")
     )
 
 
@@ -83,14 +97,19 @@ def set_facts(
     keys: Sequence[str],
     allowed: Sequence[str] = M.ALLOWED_COUNTRY_CODES,
     fields: Sequence[str] = RECORD_FIELDS,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Everything the verdict needs, in one aggregation that combines before its shuffle."""
+    """Everything the verdict needs, in one aggregation that combines before its shuffle.
+
+    ``also`` adds aggregates of the caller to the same pass.
+    """
     code = F.col("country_code")
     return records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"),
         *[F.avg(F.col(f).isNotNull().cast("double")).alias(_rate(f)) for f in fields],
         F.array_sort(F.collect_set(F.when(~code.isin(*allowed), code))).alias("offending_codes"),
         F.max(P.has_mojibake(*[F.col(f) for f in fields])).alias("has_mojibake"),
+        *also,
     )
 
 

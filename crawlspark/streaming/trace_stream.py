@@ -10,8 +10,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crawlspark import markers as M
 from crawlspark.operators import evidence as E
-from crawlspark.operators import quality as Q
 from crawlspark.operators import trace as TR
+from crawlspark.plans.record_plan import validate_lines
 from crawlspark.sources import readers
 
 
@@ -126,12 +126,7 @@ def check_record_sets(lines: DataFrame, path: str, checkpoint: str, keys: list[s
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        scanned = Q.scan_lines(batch)
-        good = scanned.where(~F.col("is_bad")).select(*keys, "line_no", "record.*")
-        facts = Q.set_facts(good, keys)
-        sets = scanned.groupBy(*keys).agg(F.count_if("is_bad").alias("_bad"))
-        joined = sets.join(facts, keys, "left").join(Q.first_bad_line(scanned, keys), keys, "left")
-        report = Q.record_set_report(joined, bad_index=F.col("bad_index"))
+        report = validate_lines(batch, keys)
         report.select(*keys, "passed", "row_count", "failure_category", "details").write.mode(
             "overwrite"
         ).parquet(f"{path}/batch={batch_id}")
