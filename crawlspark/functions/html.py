@@ -8,8 +8,6 @@ text of an element ends at the first closing tag of that name.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -243,7 +241,7 @@ def revealed_more(interactions: Column) -> Column:
             interactions,
             lambda a: F.coalesce(
                 a["action"].isin(*M.REVEAL_ACTIONS)
-                & reduce(or_, [F.contains(F.lower(a["target"]), F.lit(t)) for t in M.REVEAL_TARGETS]),
+                & P.contains_any(F.lower(a["target"]), M.REVEAL_TARGETS),
                 F.lit(False),
             ),
         ),

@@ -1,14 +1,15 @@
 """Row filters as boolean Columns.
 
-Marker lists are short and fixed, so a test for "holds any of these" is an OR of
-``contains`` that stays in generated code; no marker table is joined or broadcast.
+Marker lists are short and fixed, so "holds any of these" is one alternation of literals
+in generated code; no marker table is joined or broadcast.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -16,16 +17,20 @@ from crawlspark import markers as M
 from crawlspark.functions import urls as U
 
 
+def _any_of(words: Sequence[str]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+    return text.rlike(_any_of(words)) if words else F.lit(False)
 
 
 def starts_with_any(text: Column, prefixes: Sequence[str]) -> Column:
-    return reduce(or_, [F.startswith(text, F.lit(p)) for p in prefixes], F.lit(False))
+    return text.rlike("^" + _any_of(prefixes))
 
 
 def ends_with_any(text: Column, suffixes: Sequence[str]) -> Column:
-    return reduce(or_, [F.endswith(text, F.lit(s)) for s in suffixes], F.lit(False))
+    return text.rlike(_any_of(suffixes) + r"\z")
 
 
 def marker_hits(text: Column, words: Sequence[str] = M.API_URL_WORDS) -> Column:
@@ -124,7 +129,8 @@ def is_usable_pdf_text(text: Column, min_chars: int = 100) -> Column:
 
 def has_mojibake(*texts: Column, damaged: Sequence[str] = M.MOJIBAKE) -> Column:
     """Any of the texts holds a sequence left by decoding with the wrong code page."""
-    return reduce(or_, [F.coalesce(contains_any(t, damaged), F.lit(False)) for t in texts])
+    joined = texts[0] if len(texts) == 1 else F.concat_ws("\n", *texts)
+    return F.coalesce(contains_any(joined, damaged), F.lit(False))
 
 
 def is_sufficient(
