@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from crawlspark import markers as M
 from crawlspark.functions.binding import let
+from crawlspark.functions.jsontext import is_json
 
 # Unquoting would turn the JSON *string* "[1]" into a list and "20" into a number. A
 # noncharacter put in front of such strings keeps them apart; it is removed again from
@@ -64,7 +65,7 @@ def _root(json: Column) -> Column:
         return F.when(_is_object(text) | _is_array(text), F.array(node))
 
     return F.coalesce(
-        F.when(F.try_parse_json(json).isNotNull(), let(_mask(_trim(json)), checked)),
+        F.when(is_json(json), let(_mask(_trim(json)), checked)),
         F.array().cast("array<struct<path:array<int>,node:string>>"),
     )
 
@@ -149,7 +150,7 @@ def record_list_at_root(json: Column) -> Column:
     def items(text: Column) -> Column:
         return F.when(_is_array(text), F.from_json(text, "array<string>"))
 
-    root = F.when(F.try_parse_json(json).isNotNull(), _mask(_trim(json)))
+    root = F.when(is_json(json), _mask(_trim(json)))
     return F.transform(let(let(root, chosen), items), _unmask)
 
 

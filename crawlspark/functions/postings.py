@@ -14,6 +14,7 @@ from crawlspark.functions import html as H
 from crawlspark.functions import payload as J
 from crawlspark.functions import urls as U
 from crawlspark.functions.binding import let
+from crawlspark.functions.jsontext import valid_json
 from crawlspark.schema import RECORD_FIELDS
 
 
@@ -90,8 +91,8 @@ def lever_feed(json: Column) -> Column:
             date_posted_text=_filled(r["postedAt"]),
         )
 
-    parsed = F.when(F.try_parse_json(json).isNotNull(), F.from_json(json, f"array<{_LEVER}>"))
-    return F.transform(parsed, one)
+    entries = F.from_json(valid_json(json), f"array<{_LEVER}>")
+    return F.transform(entries, one)
 
 
 # --- HTML -------------------------------------------------------------------

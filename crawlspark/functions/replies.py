@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from crawlspark.functions.binding import let
+from crawlspark.functions.jsontext import is_json, parsed, valid_json
 
 _FENCE = "```"
 
@@ -35,10 +36,10 @@ def json_text(reply: Column) -> Column:
     """JSON of a reply as text, NULL when none of it parses."""
 
     def pick(body: Column) -> Column:
-        return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(
+        return F.when(is_json(body), body).otherwise(
             let(
                 _first_to_last_brace(body),
-                lambda inner: F.when(F.try_parse_json(inner).isNotNull(), inner),
+                valid_json,
             )
         )
 
@@ -52,11 +53,11 @@ def code_text(reply: Column) -> Column:
 
 def reply_fields(body: Column) -> dict[str, Column]:
     """Content and token usage of a stored completion; absent usage counts as 0."""
-    parsed = F.try_parse_json(body)
+    reply = parsed(body)
     return {
-        "content": F.try_variant_get(parsed, "$.choices[0].message.content", "string"),
-        "tokens_prompt": F.coalesce(F.try_variant_get(parsed, "$.usage.prompt_tokens", "bigint"), F.lit(0)),
+        "content": F.try_variant_get(reply, "$.choices[0].message.content", "string"),
+        "tokens_prompt": F.coalesce(F.try_variant_get(reply, "$.usage.prompt_tokens", "bigint"), F.lit(0)),
         "tokens_completion": F.coalesce(
-            F.try_variant_get(parsed, "$.usage.completion_tokens", "bigint"), F.lit(0)
+            F.try_variant_get(reply, "$.usage.completion_tokens", "bigint"), F.lit(0)
         ),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlspark import markers as M
 from crawlspark.functions import predicates as P
+from crawlspark.functions.jsontext import is_json_object
 from crawlspark.operators import keyed as K
 from crawlspark.schema import RECORD, RECORD_FIELDS
 
@@ -30,10 +31,7 @@ def mistyped_fields(line: Column, fields: Sequence[str] = RECORD_FIELDS) -> Colu
         lambda e: e["key"].isin(*fields)
         & ~F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).isin("STRING", "VOID"),
     )
-    is_object = F.coalesce(
-        F.startswith(F.schema_of_variant(F.try_parse_json(line)), F.lit("OBJECT")), F.lit(False)
-    )
-    return F.when(is_object, F.transform(wrong, lambda e: e["key"]))
+    return F.when(is_json_object(line), F.transform(wrong, lambda e: e["key"]))
 
 
 def scan_lines(lines: DataFrame, line: str = "line") -> DataFrame:

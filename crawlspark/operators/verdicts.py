@@ -244,16 +244,15 @@ def set_difference(
 
 
 def walk_until_short(
-    pages: DataFrame, keys: Sequence[str], page: str, item: str, limit: int | Column | None = None
+    pages: DataFrame, keys: Sequence[str], page: str, item: str, limit: int = 1
 ) -> DataFrame:
-    """Items of a page walk: an empty page ends it, a short page is kept and ends it.
+    """Items of a page walk: an empty page ends it, a page short of ``limit`` is kept and ends it.
 
-    The stop page is a minimum per source, so no source is walked in one task.
+    Every page walked has a row, an empty one with a NULL item. The stop page is a minimum
+    per source, so no source is walked in one task.
     """
     sizes = pages.groupBy(*keys, page).agg(F.count(item).alias("_n"))
-    full = F.lit(1) if limit is None else limit
-    stops = sizes.where(F.col("_n") < F.greatest(F.lit(1), full) if limit is not None else F.col("_n") == 0)
-    stops = stops.groupBy(*keys).agg(F.min(page).alias("_stop"))
+    stops = sizes.where(F.col("_n") < max(limit, 1)).groupBy(*keys).agg(F.min(page).alias("_stop"))
     kept = K.attach(pages.where(F.col(item).isNotNull()), stops, keys)
     return kept.where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).drop("_stop")
 

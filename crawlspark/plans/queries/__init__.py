@@ -1,3 +1,5 @@
 """Queries over the test tables; importing the package fills the registry."""
 
-from crawlspark.plans.queries import page_queries, quality_queries, url_queries  # noqa: F401
+from crawlspark.plans.queries import (
+    page_queries, payload_queries, quality_queries, url_queries, verdict_queries,
+)  # noqa: F401

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from crawlspark.functions import predicates as P
 from crawlspark.functions import replies as R
 from crawlspark.functions import urls as U
+from crawlspark.functions.jsontext import parsed, valid_json
 from crawlspark.schema import PATTERN
 
 
-def valid_json(text: Column) -> Column:
-    """The text when it parses as JSON, else NULL."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
-
-
 def pages(df: DataFrame, url: str = "url", html: str = "html", status: str = "status") -> DataFrame:
     """Stored pages; a failed navigation is a row with status 0 and empty HTML."""
     seen = F.col(status) if status in df.columns else F.lit(200)
@@ -60,11 +58,13 @@ def probes(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def search_hits(df: DataFrame, domain: str = "domain", body: str = "body") -> DataFrame:
+def search_hits(
+    df: DataFrame, domain: str = "domain", body: str = "body", keep: Sequence[str] = ()
+) -> DataFrame:
     """(domain, seq, url) of stored search answers, in rank order, careers URLs only."""
     organic = F.from_json(F.col(body), "struct<organic:array<struct<link:string>>>")["organic"]
-    hits = df.select(domain, F.posexplode(organic).alias("seq", "hit")).select(
-        domain, "seq", F.col("hit.link").alias("url")
+    hits = df.select(*keep, domain, F.posexplode(organic).alias("seq", "hit")).select(
+        *keep, domain, "seq", F.col("hit.link").alias("url")
     )
     return hits.where((F.col("url") != "") & P.is_careers_url(F.col("url"), F.col(domain)))
 
@@ -79,16 +79,16 @@ def render_results(df: DataFrame, body: str = "body") -> DataFrame:
 
     A status that was not reported is 200 on success and 0 otherwise.
     """
-    parsed = F.from_json(
+    answer = F.from_json(
         F.col(body),
         "struct<success:boolean,data:struct<html:string,links:array<string>,metadata:struct<statusCode:int>>>",
     )
-    reported = F.nullif(parsed["data"]["metadata"]["statusCode"], F.lit(0))
+    reported = F.nullif(answer["data"]["metadata"]["statusCode"], F.lit(0))
     return df.withColumns(
         {
-            "html": F.coalesce(parsed["data"]["html"], F.lit("")),
-            "status": F.coalesce(reported, F.when(parsed["success"], 200).otherwise(0)),
-            "links": F.coalesce(parsed["data"]["links"], F.array().cast("array<string>")),
+            "html": F.coalesce(answer["data"]["html"], F.lit("")),
+            "status": F.coalesce(reported, F.when(answer["success"], 200).otherwise(0)),
+            "links": F.coalesce(answer["data"]["links"], F.array().cast("array<string>")),
         }
     )
 
@@ -97,8 +97,8 @@ def patterns(spark: SparkSession, path: str) -> DataFrame:
     """Learned patterns; unreadable lines are left out, so a corrupt store reads as empty."""
     marked = T.StructType([*PATTERN.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
-    parsed = lines.select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
-    return parsed.where(F.col("p._corrupt_record").isNull() & F.col("p.signature").isNotNull()).select(
+    rows = lines.select(F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+    return rows.where(F.col("p._corrupt_record").isNull() & F.col("p.signature").isNotNull()).select(
         *[f"p.{f.name}" for f in PATTERN.fields]
     )
 
@@ -108,12 +108,12 @@ def trace(lines: DataFrame, line: str = "value") -> DataFrame:
 
     Works on batch and streaming input alike. A line without a type is not an event.
     """
-    v = F.try_parse_json(F.col(line))
+    v = F.col("extras")
 
     def text(name: str) -> Column:
         return F.try_variant_get(v, f"$.{name}", "string")
 
-    events = lines.select(
+    events = lines.withColumn("extras", parsed(F.col(line))).select(
         F.try_variant_get(v, "$.timestamp", "double").alias("timestamp"),
         text("domain").alias("domain"),
         text("run_id").alias("run_id"),
@@ -123,7 +123,7 @@ def trace(lines: DataFrame, line: str = "value") -> DataFrame:
         text("artifact_ref").alias("artifact_ref"),
         F.try_variant_get(v, "$.tokens_prompt", "bigint").alias("tokens_prompt"),
         F.try_variant_get(v, "$.tokens_completion", "bigint").alias("tokens_completion"),
-        v.alias("extras"),
+        "extras",
         F.col(line).alias("line"),
     )
     return events.where(F.col("type").isNotNull())
