@@ -88,10 +88,12 @@ def _children(level: Column) -> Column:
     )
 
 
+_RECORD_KEY = "(?:^|\u0001)(?:" + "|".join(M.TITLE_KEYS + M.ID_KEYS) + ")(?:\u0001|$)"
+
+
 def _names_record(keys: Column) -> Column:
-    lowered = F.transform(keys, F.lower)
-    wanted = F.array(*[F.lit(k) for k in M.TITLE_KEYS + M.ID_KEYS])
-    return F.coalesce(F.arrays_overlap(lowered, wanted), F.lit(False))
+    """One of the keys names a title or an id; NULL keys do not."""
+    return F.lower(F.coalesce(F.array_join(keys, "\u0001"), F.lit(""))).rlike(_RECORD_KEY)
 
 
 def _record_items(node: Column) -> Column:

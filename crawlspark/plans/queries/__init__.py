@@ -1,5 +1,10 @@
 """Queries over the test tables; importing the package fills the registry."""
 
-from crawlspark.plans.queries import (
-    page_queries, payload_queries, quality_queries, url_queries, verdict_queries,
-)  # noqa: F401
+from crawlspark.plans.queries import (  # noqa: F401
+    evidence_queries,
+    page_queries,
+    payload_queries,
+    quality_queries,
+    url_queries,
+    verdict_queries,
+)
