@@ -64,11 +64,14 @@ def evidence_gate(spark, sf_dir):
     return E.gate(attempts(spark, sf_dir)).select("run_id", "attempt", "sufficient", "confidence")
 
 
-SQL_STAGNATION = f"""WITH {_SQL_ATTEMPTS} SELECT run_id, attempt, fingerprint,
-  NOT sufficient AND coalesce(fingerprint = lag(fingerprint) OVER (PARTITION BY run_id ORDER BY attempt), false) AS stagnant FROM attempts"""
+SQL_ATTEMPTS_WITH = f"WITH {_SQL_ATTEMPTS}"
 
 
-@query("fingerprint_stagnation", SQL_STAGNATION)
+@query(
+    "fingerprint_stagnation",
+    f"""{SQL_ATTEMPTS_WITH} SELECT run_id, attempt, fingerprint,
+  NOT sufficient AND coalesce(fingerprint = lag(fingerprint) OVER (PARTITION BY run_id ORDER BY attempt), false) AS stagnant FROM attempts""",
+)
 def fingerprint_stagnation(spark, sf_dir):
     out = E.stagnation(attempts(spark, sf_dir), ["run_id"])
     return out.select("run_id", "attempt", "fingerprint", "stagnant")

@@ -19,12 +19,18 @@ def write_record_lines(records: DataFrame, path: str, mode: str = "errorifexists
     records.select(record_line().alias("value")).write.mode(mode).text(path)
 
 
-def append_trace(events: DataFrame, path: str) -> None:
-    """Append events as JSONL, one folder per domain and run; null members are left out."""
-    keyed = events.hint("rebalance", "domain", "run_id")
-    # Partition columns leave the line, so copies stay behind in the folder names.
-    out = keyed.withColumns({"_domain": F.col("domain"), "_run_id": F.col("run_id")})
-    out.write.mode("append").partitionBy("_domain", "_run_id").json(path)
+def append_trace(
+    events: DataFrame, path: str, partition_by: Sequence[str] = ("domain", "run_id")
+) -> None:
+    """Append events as JSONL, one folder per domain and run; null members are left out.
+
+    With very many short runs, partition by fewer columns: a folder each would mean more
+    files than events.
+    """
+    keyed = events.hint("rebalance", *partition_by)
+    # Partition columns leave the line, so the folders are named by copies.
+    out = keyed.withColumns({f"by_{c}": F.col(c) for c in partition_by})
+    out.write.mode("append").partitionBy(*[f"by_{c}" for c in partition_by]).json(path)
 
 
 def write_confidence(confidence: DataFrame, path: str, mode: str = "errorifexists") -> None:

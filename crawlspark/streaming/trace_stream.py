@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -119,15 +119,23 @@ def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame
     ).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-def check_record_sets(lines: DataFrame, path: str, checkpoint: str, keys: list[str]):
+def check_record_sets(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: list[str],
+    required: Sequence[str] = M.REQUIRED_FIELDS,
+):
     """Validate every arriving batch of record lines with the batch operators.
 
     A set must arrive within one micro-batch, as one finished file does.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        report = validate_lines(batch, keys)
-        report.select(*keys, "passed", "row_count", "failure_category", "details").write.mode(
+        report = validate_lines(batch, keys, required=required)
+        report.select(
+            *keys, "passed", F.col("row_count").cast("long").alias("row_count"), "failure_category", "details"
+        ).write.mode(
             "overwrite"
         ).parquet(f"{path}/batch={batch_id}")
 
