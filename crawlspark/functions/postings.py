@@ -228,10 +228,12 @@ def first_element_text(html: Column, alternatives: list[tuple[str, str]]) -> Col
     def at(tag: str, condition: str) -> Column:
         pattern = rf"(?is){H.element_pattern(tag, condition)}"
         # The element ends at the first closing tag of the name it opened with.
-        rest = F.regexp_extract(html, rf"(?is){H.element_pattern(tag, condition)}(.*)$", 1)
-        name = F.regexp_extract(F.regexp_extract(html, rf"{pattern}", 0), "^<([A-Za-z0-9]+)", 1)
-        inner = F.substring_index(rest, F.concat(F.lit("</"), name), 1) if tag == _ANY else None
-        text = H.text_of(inner) if tag == _ANY else H.element_text(html, tag, condition)
+        if tag == _ANY:
+            rest = F.regexp_extract(html, rf"{pattern}(.*)$", 1)
+            name = F.regexp_extract(F.regexp_extract(html, pattern, 0), "^<([A-Za-z0-9]+)", 1)
+            text = H.text_of(F.split_part(rest, F.concat(F.lit("</"), name), F.lit(1)))
+        else:
+            text = H.element_text(html, tag, condition)
         return F.struct(F.regexp_instr(html, F.lit(pattern)).alias("at"), text.alias("text"))
 
     found = F.filter(F.array(*[at(t, c) for t, c in alternatives]), lambda e: e["at"] > 0)

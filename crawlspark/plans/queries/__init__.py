@@ -5,6 +5,7 @@ from crawlspark.plans.queries import (  # noqa: F401
     page_queries,
     payload_queries,
     quality_queries,
+    record_queries,
     trace_queries,
     url_queries,
     verdict_queries,
