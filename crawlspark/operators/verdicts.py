@@ -12,7 +12,7 @@ source and combines before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,10 +38,12 @@ def trial_facts(
     trial: str = "trial",
     item: str = "item",
     responded: str = "responded",
+    of_base: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One row per source: n_base and, per trial in order, whether it answered and differs.
 
-    ``trials`` is array<struct<seq, trial, responded, n, different>>.
+    ``trials`` is array<struct<seq, trial, responded, n, both, different>>. ``of_base``
+    adds aggregates over the distinct base items in the same pass.
     """
     is_base = F.col(trial) == BASE
     answered = F.coalesce(F.col(responded), F.lit(True))
@@ -66,6 +68,9 @@ def trial_facts(
             F.count_if(real & within(name)).alias(f"_n{i}"),
             F.count_if(real & within(name) & F.col("_in_base")).alias(f"_b{i}"),
         ]
+    extra = dict(of_base or {})
+    base_item = F.when(F.col("_in_base"), F.col(item))
+    sums += [build(base_item).alias(name) for name, build in extra.items()]
     folded = items.groupBy(*keys).agg(*sums)
     facts = F.array(
         *[
@@ -74,6 +79,7 @@ def trial_facts(
                 F.lit(name).alias("trial"),
                 F.col(f"_r{i}").alias("responded"),
                 F.col(f"_n{i}").alias("n"),
+                F.col(f"_b{i}").alias("both"),
                 ((F.col(f"_n{i}") != F.col("n_base")) | (F.col(f"_b{i}") != F.col("n_base"))).alias(
                     "different"
                 ),
@@ -81,7 +87,7 @@ def trial_facts(
             for i, name in enumerate(trials)
         ]
     )
-    return folded.select(*keys, "n_base", facts.alias("trials"))
+    return folded.select(*keys, "n_base", facts.alias("trials"), *extra)
 
 
 def _in_order(trials: Column, hint: Column | None) -> Column:
