@@ -169,7 +169,7 @@ def _first_value(json: Column, keys: Sequence[str], max_depth: int = 6) -> Colum
     """
 
     def own_key(node: Column) -> Column:
-        return F.filter(_members(node), lambda m: F.coalesce(F.lower(m["key"]).isin(*keys), F.lit(False)))
+        return F.filter(_members(node), lambda m: _named(m["key"], keys))
 
     def looked_at(level: Column) -> Column:
         return F.transform(
@@ -210,13 +210,23 @@ def sample_keys(item: Column) -> Column:
 # --- moving a request body to the next page ---------------------------------
 
 
-def _numeric_members(entries: Column, names: Sequence[str]) -> Column:
-    """Members with one of the names and a JSON number; booleans and strings are not numbers."""
-    return F.filter(
+def _named(key: Column, names: Sequence[str]) -> Column:
+    """The key is one of the (lower-case) names, case ignored; a NULL key is not."""
+    return F.coalesce(F.lower(key).rlike("^(?:" + "|".join(names) + ")$"), F.lit(False))
+
+
+def _first_number(entries: Column, names: Sequence[str]) -> Column:
+    """First member with one of the names and a JSON number; booleans are not numbers."""
+    numeric = F.filter(
         entries,
-        lambda e: F.lower(e["key"]).isin(*names)
+        lambda e: _named(e["key"], names)
         & F.coalesce(F.schema_of_variant(e["value"]).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(False)),
     )
+    return F.try_element_at(numeric, F.lit(1))
+
+
+def _entries(body: Column) -> Column:
+    return F.map_entries(F.from_json(body, "map<string,variant>"))
 
 
 def _plus(value: Column, step: Column) -> Column:
@@ -241,22 +251,29 @@ def _put(entries: Column, key: Column, json_value: Column) -> Column:
 
 def next_page_body(body: Column, default_step: int = 20) -> Column:
     """struct<body, mechanism> one page further, NULL when no paging key holds a number."""
-    entries = F.map_entries(F.from_json(body, "map<string,variant>"))
-    limit = F.try_variant_get(
-        F.try_element_at(_numeric_members(entries, M.LIMIT_KEYS), F.lit(1))["value"], "$", "string"
-    )
-    step = F.when(limit.isNull() | (limit.try_cast("double") == 0), str(default_step)).otherwise(limit)
-    offset = F.try_element_at(_numeric_members(entries, M.OFFSET_KEYS), F.lit(1))
-    page = F.try_element_at(_numeric_members(entries, M.PAGE_KEYS), F.lit(1))
-    by_offset = F.struct(
-        _put(entries, offset["key"], _plus(offset["value"], step)).alias("body"),
-        F.lit("offset/limit").alias("mechanism"),
-    )
-    by_page = F.struct(
-        _put(entries, page["key"], _plus(page["value"], F.lit("1"))).alias("body"),
-        F.lit("page number").alias("mechanism"),
-    )
-    return F.when(offset.isNotNull(), by_offset).when(page.isNotNull(), by_page)
+
+    def moved(entries: Column) -> Column:
+        limit = F.try_variant_get(_first_number(entries, M.LIMIT_KEYS)["value"], "$", "string")
+        step = F.when(limit.isNull() | (limit.try_cast("double") == 0), str(default_step)).otherwise(limit)
+
+        def advanced(found: Column, by: Column, mechanism: str) -> Column:
+            return let(
+                found,
+                lambda m: F.when(
+                    m.isNotNull(),
+                    F.struct(
+                        _put(entries, m["key"], _plus(m["value"], by)).alias("body"),
+                        F.lit(mechanism).alias("mechanism"),
+                    ),
+                ),
+            )
+
+        return F.coalesce(
+            advanced(_first_number(entries, M.OFFSET_KEYS), step, "offset/limit"),
+            advanced(_first_number(entries, M.PAGE_KEYS), F.lit("1"), "page number"),
+        )
+
+    return let(_entries(body), moved)
 
 
 def _json_string(text: Column) -> Column:
@@ -268,36 +285,35 @@ def next_page_variables(variables: Column, response: Column) -> Column:
 
     Without a cursor in the response there is no next page: none is invented.
     """
-    entries = F.map_entries(F.from_json(variables, "map<string,variant>"))
-    slot = F.try_element_at(
-        F.filter(entries, lambda e: F.lower(e["key"]).isin(*M.CURSOR_VARIABLE_KEYS)), F.lit(1)
-    )
 
-    def moved(cursor: Column) -> Column:
-        usable = F.coalesce(~cursor.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    def moved(entries: Column, cursor: Column) -> Column:
+        usable = F.coalesce(~cursor.rlike(r"^(?:0|0\.0|false|\[\]|\{\}|)$"), F.lit(False))
         bare = cursor.rlike(r"^-?[0-9]|^[\[{]|^true$")
         value = F.when(bare, _unmask(cursor)).otherwise(_json_string(_unmask(cursor)))
+        slot = F.filter(entries, lambda e: _named(e["key"], M.CURSOR_VARIABLE_KEYS))[0]
         return F.when(
             usable,
             F.struct(_put(entries, slot["key"], value).alias("body"), F.lit("cursor").alias("mechanism")),
         )
 
-    return F.when(
-        slot.isNotNull(), let(_first_value(response, M.CURSOR_RESPONSE_KEYS), moved)
-    ).otherwise(next_page_body(variables))
+    def by_slot(entries: Column) -> Column:
+        has_slot = F.exists(entries, lambda e: _named(e["key"], M.CURSOR_VARIABLE_KEYS))
+        by_cursor = let(_first_value(response, M.CURSOR_RESPONSE_KEYS), lambda c: moved(entries, c))
+        return F.when(has_slot, by_cursor).otherwise(next_page_body(variables))
+
+    return let(_entries(variables), by_slot)
 
 
 def with_member(body: Column, key: Column, value: Column) -> Column:
     """Object text with one string member replaced in place or added at the end."""
-    entries = F.map_entries(F.from_json(body, "map<string,variant>"))
     text = _json_string(value)
-    exists = F.exists(entries, lambda e: e["key"] == key)
-    added = F.to_json(
-        F.map_from_entries(
-            F.concat(entries, F.array(F.struct(key.alias("key"), F.try_parse_json(text).alias("value"))))
-        )
-    )
-    return F.when(exists, _put(entries, key, text)).otherwise(added)
+
+    def put(entries: Column) -> Column:
+        added = F.array(F.struct(key.alias("key"), F.try_parse_json(text).alias("value")))
+        grown = F.to_json(F.map_from_entries(F.concat(entries, added)))
+        return F.when(F.exists(entries, lambda e: e["key"] == key), _put(entries, key, text)).otherwise(grown)
+
+    return let(_entries(body), put)
 
 
 def by_priority(build: Callable[[str, str], Column], probes: Sequence[tuple[str, str]]) -> Column:

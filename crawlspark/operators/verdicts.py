@@ -56,37 +56,27 @@ def trial_facts(
             F.collect_set(F.when(~is_base, F.col(trial))).alias("_in"),
         )
     )
-    real = F.col(item).isNotNull()
+    def within(name: str) -> str:
+        return f"array_contains(_in, '{name}')"
 
-    def within(name: str) -> Column:
-        return F.array_contains("_in", name)
-
-    sums = [F.count_if(real & F.col("_in_base")).alias("n_base")]
+    real = f"`{item}` IS NOT NULL"
+    sums = [F.expr(f"count_if({real} AND _in_base) AS n_base")]
     for i, name in enumerate(trials):
         sums += [
-            F.max(within(name)).alias(f"_r{i}"),
-            F.count_if(real & within(name)).alias(f"_n{i}"),
-            F.count_if(real & within(name) & F.col("_in_base")).alias(f"_b{i}"),
+            F.expr(f"max({within(name)}) AS _r{i}"),
+            F.expr(f"count_if({real} AND {within(name)}) AS _n{i}"),
+            F.expr(f"count_if({real} AND {within(name)} AND _in_base) AS _b{i}"),
         ]
     extra = dict(of_base or {})
     base_item = F.when(F.col("_in_base"), F.col(item))
     sums += [build(base_item).alias(name) for name, build in extra.items()]
     folded = items.groupBy(*keys).agg(*sums)
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("seq"),
-                F.lit(name).alias("trial"),
-                F.col(f"_r{i}").alias("responded"),
-                F.col(f"_n{i}").alias("n"),
-                F.col(f"_b{i}").alias("both"),
-                ((F.col(f"_n{i}") != F.col("n_base")) | (F.col(f"_b{i}") != F.col("n_base"))).alias(
-                    "different"
-                ),
-            )
-            for i, name in enumerate(trials)
-        ]
+    structs = ", ".join(
+        f"named_struct('seq', {i}, 'trial', '{name}', 'responded', _r{i}, 'n', _n{i}, 'both', _b{i}, "
+        f"'different', _n{i} <> n_base OR _b{i} <> n_base)"
+        for i, name in enumerate(trials)
     )
+    facts = F.expr(f"array({structs})")
     return folded.select(*keys, "n_base", facts.alias("trials"), *extra)
 
 
