@@ -1,7 +1,7 @@
 """Extraction from page HTML with built-in regular-expression functions.
 
-No look-around and no back-references, so every pattern also runs on engines of the
-RE2 family. Limits: a ``>`` inside an attribute value ends the tag early, and the inner
+No back-references, so the patterns of elements and attributes also run on engines of
+the RE2 family. Limits: a ``>`` inside an attribute value ends the tag early, and the inner
 text of an element ends at the first closing tag of that name.
 """
 
@@ -50,8 +50,8 @@ def attribute_values(html: Column, tag: str, attribute: str) -> Column:
 def attribute(tag_text: Column, name: str) -> Column:
     """One attribute of a single opening tag, NULL when absent."""
     pattern = rf"(?is)\s{name}\s*=\s*{_VALUE}"
-    found = F.regexp_extract(tag_text, pattern, 1)
-    return F.when(tag_text.rlike(pattern), unescape(_unquote(found)))
+    # The capture holds the quotes, so it is only empty when there is no such attribute.
+    return unescape(_unquote(F.nullif(F.regexp_extract(tag_text, pattern, 1), F.lit(""))))
 
 
 def anchor_hrefs(html: Column) -> Column:
@@ -90,9 +90,9 @@ def attr_condition(name: str, value: str) -> str:
 
 
 def element(html: Column, tag: str, condition: str = "") -> Column:
-    """Inner HTML of the first such element, NULL when the page has none."""
+    """Inner HTML of the first such element, NULL when it is empty or the page has none."""
     pattern = rf"(?is){element_pattern(tag, condition)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
 def element_text(html: Column, tag: str, condition: str = "") -> Column:
@@ -101,8 +101,7 @@ def element_text(html: Column, tag: str, condition: str = "") -> Column:
 
 def first_tag(html: Column, tag: str, condition: str = "") -> Column:
     """First such opening tag itself, NULL when absent."""
-    pattern = rf"(?is)({element_pattern(tag, condition)})"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.nullif(F.regexp_extract(html, rf"(?is){element_pattern(tag, condition)}", 0), F.lit(""))
 
 
 def blocks(html: Column, opening: str) -> Column:

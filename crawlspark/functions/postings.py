@@ -198,68 +198,78 @@ def smartrecruiters_detail(html: Column, url: Column) -> Column:
     )
 
 
-# Element alternatives of a generic detail page: (tag, condition), any tag is a word.
-_ANY = "[A-Za-z][A-Za-z0-9]*"
-
-
-def _by_class(*names: str) -> list[tuple[str, str]]:
-    return [(_ANY, H.class_condition(n)) for n in names]
-
-
-GENERIC_FIELDS = {
-    "title": [("h1", ""), ("h2", ""), *_by_class("job-title", "title")],
-    "job_description": [
-        *_by_class("job-description", "description"),
-        (_ANY, H.id_condition("jobDescription")),
-        ("div", H.attr_condition("data-test", "jobDescription")),
-        ("section", H.class_condition("job-details")),
-    ],
-    "date_posted_text": [("time", ""), *_by_class("date-posted", "posted-date")],
+# Opening tags that hold a field on a detail page of unknown make.
+def _by_class(*names: str) -> str:
+    return rf"""\sclass\s*=\s*["'](?:[^"'>]*\s)?(?:{'|'.join(names)})(?:\s[^"'>]*)?["']"""
+
+
+GENERIC_TAGS = {
+    "title": r"^<h[12][\s>]|" + _by_class("job-title", "title"),
+    "job_description": "|".join(
+        [
+            _by_class("job-description", "description"),
+            r"""\sid\s*=\s*["']jobDescription["']""",
+            r"""^<div(?=\s).*\sdata-test\s*=\s*["']jobDescription["']""",
+            r"^<section(?=\s).*" + _by_class("job-details"),
+        ]
+    ),
+    "date_posted_text": r"^<time[\s>]|" + _by_class("date-posted", "posted-date")
+    + r"""|^<meta(?=\s).*\sproperty\s*=\s*["']article:published_time["']""",
     "employment_type": _by_class("employment-type", "employmentType", "job-type"),
     "work_type": _by_class("work-type", "workType", "location-type", "job-location-type"),
     "salary_range": _by_class("salary-range", "salary", "compensation", "pay-range"),
     "location_text": _by_class("location", "job-location", "city-state-country"),
+    "apply_tag": r"^<a(?=\s).*" + _by_class("apply", "btn-apply")
+    + r"""|^<a(?=\s).*\sdata-test\s*=\s*["']applyButton["']|^<a(?=\s).*\sdata-qa\s*=\s*["']apply["']""",
+    "page_title": r"^<title[\s>]",
 }
 
 
-def first_element_text(html: Column, alternatives: list[tuple[str, str]]) -> Column:
-    """Text of whichever alternative comes first on the page."""
-
-    def at(tag: str, condition: str) -> Column:
-        pattern = rf"(?is){H.element_pattern(tag, condition)}"
-        # The element ends at the first closing tag of the name it opened with.
-        if tag == _ANY:
-            rest = F.regexp_extract(html, rf"{pattern}(.*)$", 1)
-            name = F.regexp_extract(F.regexp_extract(html, pattern, 0), "^<([A-Za-z0-9]+)", 1)
-            text = H.text_of(F.split_part(rest, F.concat(F.lit("</"), name), F.lit(1)))
-        else:
-            text = H.element_text(html, tag, condition)
-        return F.struct(F.regexp_instr(html, F.lit(pattern)).alias("at"), text.alias("text"))
-
-    found = F.filter(F.array(*[at(t, c) for t, c in alternatives]), lambda e: e["at"] > 0)
-    return F.array_min(found)["text"]
-
+def _text_behind(html: Column, tag: Column) -> Column:
+    """Text from an opening tag to the next closing tag of its name, NULL without a tag.
+
+    ``tag`` is the first of its kind, so its first occurrence is the element looked for.
+    """
+    rest = F.substr(html, F.position(tag, html) + F.length(tag))
+    name = F.regexp_extract(tag, "^<([A-Za-z0-9]+)", 1)
+    return H.text_of(F.split_part(rest, F.concat(F.lit("</"), name), F.lit(1)))
+
+
+def generic_detail(html: Column, url: Column) -> Column:
+    """struct of the fields of a detail page; location still as text.
+
+    The opening tags are listed in one pass over the page; each field then takes the first
+    tag, in page order, that fits any of its alternatives.
+    """
+
+    def first(tags: Column, name: str) -> Column:
+        return F.try_element_at(F.filter(tags, lambda t: t.rlike("(?is)" + GENERIC_TAGS[name])), F.lit(1))
+
+    def fields(found: Column) -> Column:
+        def text(name: str) -> Column:
+            return _text_behind(html, found[name])
+
+        date_tag = found["date_posted_text"]
+        date_text = F.when(
+            F.startswith(F.lower(date_tag), F.lit("<meta")), _filled(_trim(H.attribute(date_tag, "content")))
+        ).otherwise(text("date_posted_text"))
+        apply_href = F.coalesce(H.attribute(found["apply_tag"], "href"), F.lit(""))
+        return F.struct(
+            url.alias("url"),
+            F.coalesce(text("title"), text("page_title")).alias("title"),
+            U.id_after(url).alias("job_id"),
+            F.when(found["apply_tag"].isNotNull(), U.resolve(url, apply_href)).alias("apply_url"),
+            date_text.alias("date_posted_text"),
+            FD.iso_date(date_text).alias("date_posted"),
+            *[
+                text(n).alias(n)
+                for n in ("job_description", "employment_type", "work_type", "salary_range", "location_text")
+            ],
+        )
 
-def generic_detail(html: Column, url: Column) -> dict[str, Column]:
-    """Fields of a detail page of unknown make; location still as text."""
-    out = {name: first_element_text(html, alts) for name, alts in GENERIC_FIELDS.items()}
-    meta = H.attribute(
-        H.first_tag(html, "meta", H.attr_condition("property", "article:published_time")), "content"
-    )
-    out["date_posted_text"] = F.coalesce(out["date_posted_text"], _filled(_trim(meta)))
-    out["title"] = F.coalesce(out["title"], H.element_text(html, "title"))
-    apply_tag = F.coalesce(
-        H.first_tag(html, "a", H.class_condition("apply")),
-        H.first_tag(html, "a", H.class_condition("btn-apply")),
-        H.first_tag(html, "a", H.attr_condition("data-test", "applyButton")),
-        H.first_tag(html, "a", H.attr_condition("data-qa", "apply")),
-    )
-    out["apply_url"] = F.when(
-        apply_tag.isNotNull(), U.resolve(url, F.coalesce(H.attribute(apply_tag, "href"), F.lit("")))
-    )
-    out["job_id"] = U.id_after(url)
-    out["date_posted"] = FD.iso_date(out["date_posted_text"])
-    return out
+    tags = F.regexp_extract_all(H.markup(html), F.lit("(?s)<[A-Za-z][^>]*>"), F.lit(0))
+    chosen = let(tags, lambda t: F.struct(*[first(t, n).alias(n) for n in GENERIC_TAGS]))
+    return let(chosen, fields)
 
 
 def link_record(title: Column, href: Column) -> Column:

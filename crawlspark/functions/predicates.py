@@ -18,7 +18,10 @@ from crawlspark.functions import urls as U
 
 
 def _any_of(words: Sequence[str]) -> str:
-    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+    """Alternation of literals behind a look at the first character, which rules out most
+    positions of a long text in one step."""
+    heads = "".join(re.escape(c) for c in sorted({w[0] for w in words}))
+    return f"(?=[{heads}])(?:" + "|".join(re.escape(w) for w in words) + ")"
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

@@ -130,14 +130,14 @@ def greenhouse_records(
 def smartrecruiters_records(listing_pages: DataFrame, detail_pages: DataFrame) -> DataFrame:
     """Records of the detail pages that the listings link to."""
     links = listing_pages.select(F.explode(PO.smartrecruiters_links(F.col("html"))).alias("_link"))
-    pages = links.join(detail_pages.select("url", "html"), F.col("_link") == F.col("url"), "inner")
-    return pages.select(F.inline(F.array(PO.smartrecruiters_detail(F.col("html"), F.col("url")))))
+    # Fields come out while the pages are scanned, so the join carries records, not HTML.
+    detail = detail_pages.select(F.inline(F.array(PO.smartrecruiters_detail(F.col("html"), F.col("url")))))
+    return links.join(detail, F.col("_link") == F.col("url"), "inner").drop("_link")
 
 
 def generic_records(detail_pages: DataFrame, countries: DataFrame) -> DataFrame:
     """Records of detail pages of unknown make, one row per page."""
-    found = PO.generic_detail(F.col("html"), F.col("url"))
-    fields = detail_pages.select("url", *[c.alias(n) for n, c in found.items()])
+    fields = detail_pages.select(F.inline(F.array(PO.generic_detail(F.col("html"), F.col("url")))))
     located = located_by_count(fields, "location_text", countries)
     return located.select(
         F.inline(F.array(PO.record(**{c: F.col(c) for c in located.columns if c in RECORD_FIELDS})))

@@ -31,8 +31,10 @@ def best_api(captures: DataFrame, key: str = "domain") -> DataFrame:
         key, "seq", "url", "method", "is_graphql", "json_body", "response_json",
         J.record_list(F.col("response_json")).alias("items"),
     )
-    counted = listed.withColumn("n_items", F.size("items")).where(F.col("n_items") > 0)
-    return K.first_per_key(counted, [key], [F.col("n_items").desc(), F.col("seq")])
+    counted = listed.withColumn("n_items", F.size("items"))
+    # Filtering first would search every payload twice, in the filter and in the output.
+    best = K.first_per_key(counted, [key], [F.col("n_items").desc_nulls_last(), F.col("seq")])
+    return best.where(F.col("n_items") > 0)
 
 
 def _items(df: DataFrame, key: str, items: Column, responded: Column) -> DataFrame:

@@ -98,9 +98,11 @@ def payload_lists(spark, sf_dir):
 )
 def payload_root_lists(spark, sf_dir):
     items = captures(spark, sf_dir).select("seq", J.record_list_at_root(F.col("body")).alias("items"))
-    kept = items.where(F.col("items").isNotNull())
-    canonical = F.transform("items", lambda i: J.canonical(i))
-    return kept.select("seq", F.size("items").cast("long").alias("n_items"), F.array_min(canonical).alias("first_item"))
+    one = F.when(F.col("items").isNotNull(), F.array(F.struct(
+        F.size("items").cast("long").alias("n_items"),
+        F.array_min(F.transform("items", lambda i: J.canonical(i))).alias("first_item"),
+    )))
+    return items.select("seq", F.inline(one))
 
 
 @query(
@@ -113,7 +115,8 @@ def payload_root_lists(spark, sf_dir):
 def best_payload(spark, sf_dir):
     seen = captures(spark, sf_dir).where(~P.is_denied(F.col("url")) & (F.col("body") != ""))
     counted = seen.select("domain", "seq", F.size(J.record_list(F.col("body"))).cast("long").alias("n_items"))
-    return K.first_per_key(counted.where(F.col("n_items") > 0), ["domain"], [F.col("n_items").desc(), F.col("seq")])
+    best = K.first_per_key(counted, ["domain"], [F.col("n_items").desc_nulls_last(), F.col("seq")])
+    return best.where(F.col("n_items") > 0)
 
 
 @query(

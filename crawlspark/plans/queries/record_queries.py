@@ -192,7 +192,7 @@ _LEVER_SQL = """
 @query("lever_listing", _LEVER_SQL)
 def lever_listing(spark, sf_dir):
     """JSON feed for even parts, HTML page for odd ones, told apart by the text."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     url = F.concat(F.lit("https://l.example.com/"), key)
     place = F.when(size % 4 < 2, F.concat("p_type", F.lit(" , "), "p_brand")).otherwise(F.col("p_type"))
@@ -237,7 +237,7 @@ _GREENHOUSE_SQL = """
 @query("greenhouse_records", _GREENHOUSE_SQL)
 def greenhouse_records(spark, sf_dir):
     """One listing page per part; a known country other than the default is filtered out."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     url = F.concat(F.lit("https://g.example.com/acme/jobs/"), key)
     listing = part.select(
@@ -270,7 +270,7 @@ def greenhouse_records(spark, sf_dir):
     FROM part WHERE p_size <> 50""",
 )
 def smartrecruiters_records(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     url = F.concat(F.lit("https://s.example.com/Acme/"), key, F.lit("-some-role"))
     listing = part.select(
