@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _RANK = "_rank"
 _CHUNK = "_chunk"
+_IS_ROW = "_is_row"
 
 
 def top_k_per_key(
@@ -48,6 +49,16 @@ def attach(df: DataFrame, heads: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.join(renamed, condition, "left").drop(*[f"_h_{n}" for n in names])
 
 
+def _with_heads(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows and one head row per chunk together; a head sorts ahead of its chunk's rows.
+
+    A union instead of a join: the rows are shuffled once, and NULL keys need no care.
+    """
+    return keyed.withColumn(_IS_ROW, F.lit(True)).unionByName(
+        heads.withColumn(_IS_ROW, F.lit(False)), allowMissingColumns=True
+    )
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,24 +68,22 @@ def running_totals(
 ) -> DataFrame:
     """Running sum, current row included, of each expression in ``totals``.
 
-    ``chunk`` must not decrease along ``order``. Sums run inside (key, chunk); the sums of
-    the chunks before come from one pre-aggregated row per chunk.
+    ``chunk`` must not decrease along ``order``. Sums run inside (key, chunk), starting
+    from the sum of the chunks before, which comes from one pre-aggregated row per chunk.
     """
-    keyed = df.withColumn(_CHUNK, chunk)
+    values = {f"_v_{n}": v for n, v in totals.items()}
+    keyed = df.withColumn(_CHUNK, chunk).withColumns(values)
     by_chunk = [*keys, _CHUNK]
-    local = Window.partitionBy(*by_chunk).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    heads = keyed.groupBy(*by_chunk).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in totals.items()])
-    heads = heads.select(
-        *by_chunk, *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in totals]
+    sums = keyed.groupBy(*by_chunk).agg(*[F.sum(v).alias(v) for v in values])
+    heads = sums.select(*by_chunk, *[F.sum(v).over(earlier).alias(v) for v in values])
+    local = Window.partitionBy(*by_chunk).orderBy(_IS_ROW, *order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    inside = keyed.withColumns({n: F.sum(v).over(local) for n, v in totals.items()})
-    out = attach(inside, heads, by_chunk).withColumns(
-        {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in totals}
+    summed = _with_heads(keyed, heads).withColumns(
+        {n: F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)) for n in totals}
     )
-    return out.drop(_CHUNK, *[f"_s_{n}" for n in totals])
+    return summed.where(F.col(_IS_ROW)).drop(_CHUNK, _IS_ROW, *values)
 
 
 def number_rows(
@@ -97,15 +106,16 @@ def previous_rows(
     ``position`` names a boolean column that tells a first row from a row whose
     predecessor holds NULL.
     """
-    keyed = df.withColumn(_CHUNK, chunk)
-    by_chunk = [*keys, _CHUNK]
-    local = Window.partitionBy(*by_chunk).orderBy(*order)
     carried = F.struct(*[F.col(source).alias(name) for name, source in previous.items()])
-    tails = keyed.groupBy(*by_chunk).agg(F.max_by(carried, F.struct(*order)).alias("_tail"))
-    tails = tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_CHUNK)))
-    inside = keyed.withColumn("_prev", F.lag(carried).over(local))
-    joined = attach(inside, tails, by_chunk).withColumn("_prev", F.coalesce("_prev", "_tail"))
+    keyed = df.withColumn(_CHUNK, chunk).withColumn("_carried", carried)
+    by_chunk = [*keys, _CHUNK]
+    tails = keyed.groupBy(*by_chunk).agg(F.max_by("_carried", F.struct(*order)).alias("_carried"))
+    heads = tails.withColumn(
+        "_carried", F.lag("_carried").over(Window.partitionBy(*keys).orderBy(_CHUNK))
+    ).where(F.col("_carried").isNotNull())
+    local = Window.partitionBy(*by_chunk).orderBy(_IS_ROW, *order)
+    both = _with_heads(keyed, heads).withColumn("_prev", F.lag("_carried").over(local))
     outputs = {name: F.col("_prev")[name] for name in previous}
     if position:
         outputs[position] = F.col("_prev").isNull()
-    return joined.withColumns(outputs).drop(_CHUNK, "_prev", "_tail")
+    return both.where(F.col(_IS_ROW)).withColumns(outputs).drop(_CHUNK, _IS_ROW, "_carried", "_prev")

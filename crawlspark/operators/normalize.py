@@ -14,13 +14,16 @@ from crawlspark.schema import RECORD_FIELDS
 
 
 def country_keys(countries: DataFrame, name: str = "name", code: str = "code") -> DataFrame:
-    """(lookup_key, country_name, country_code): every country by lower-cased name and code."""
+    """(lookup_key, country_name, country_code): every country by lower-cased name and code.
+
+    Where two countries share a key the smaller name wins, so reruns agree.
+    """
     keys = F.array_distinct(F.array(F.lower(F.trim(F.col(name))), F.lower(F.trim(F.col(code)))))
-    return countries.select(
+    named = countries.select(
         F.explode(keys).alias("lookup_key"),
-        F.col(name).alias("country_name"),
-        F.col(code).alias("country_code"),
-    ).dropDuplicates(["lookup_key"])
+        F.struct(F.col(name).alias("country_name"), F.col(code).alias("country_code")).alias("c"),
+    )
+    return named.groupBy("lookup_key").agg(F.min("c").alias("c")).select("lookup_key", "c.*")
 
 
 def with_country(

@@ -47,25 +47,22 @@ def trial_facts(
     """
     is_base = F.col(trial) == BASE
     answered = F.coalesce(F.col(responded), F.lit(True))
+    # Flags, one per trial: the aggregation stays in generated code and its rows stay short.
     items = (
         probes.where(is_base | (F.col(trial).isin(*trials) & answered))
         .groupBy(*keys, item)
         .agg(
             F.max(is_base).alias("_in_base"),
-            # Holds each trial name at most once, so it is as short as ``trials``.
-            F.collect_set(F.when(~is_base, F.col(trial))).alias("_in"),
+            *[F.max(F.col(trial) == name).alias(f"_w{i}") for i, name in enumerate(trials)],
         )
     )
-    def within(name: str) -> str:
-        return f"array_contains(_in, '{name}')"
-
     real = f"`{item}` IS NOT NULL"
     sums = [F.expr(f"count_if({real} AND _in_base) AS n_base")]
-    for i, name in enumerate(trials):
+    for i in range(len(trials)):
         sums += [
-            F.expr(f"max({within(name)}) AS _r{i}"),
-            F.expr(f"count_if({real} AND {within(name)}) AS _n{i}"),
-            F.expr(f"count_if({real} AND {within(name)} AND _in_base) AS _b{i}"),
+            F.expr(f"max(_w{i}) AS _r{i}"),
+            F.expr(f"count_if({real} AND _w{i}) AS _n{i}"),
+            F.expr(f"count_if({real} AND _w{i} AND _in_base) AS _b{i}"),
         ]
     extra = dict(of_base or {})
     base_item = F.when(F.col("_in_base"), F.col(item))
