@@ -48,23 +48,18 @@ def non_blank(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(~F.col(line).rlike(r"^\s*$"))
 
 
-def bad_line_index(
+def lines_ahead(
     lines: DataFrame, firsts: DataFrame, keys: Sequence[str], line: str = "line", line_no: str = "line_no"
 ) -> DataFrame:
-    """0-based index, among the non-blank lines, of each set's first bad line.
+    """Per set with a bad line that is not its first: non-blank lines ahead of it.
 
-    ``firsts`` has one ``bad_at`` per set. Lines are counted here without parsing them
-    again; only those ahead of a bad line get past the join.
+    ``firsts`` has one ``bad_at`` per set. Lines are counted without parsing them again;
+    only those ahead of a bad line get past the join.
     """
     marks = firsts.where(F.col("bad_at").isNotNull()).select(*keys, "bad_at")
-    ahead = K.attach(marks, _before(non_blank(lines, line), marks, keys, line_no), keys)
-    return ahead.select(*keys, F.coalesce("_ahead", F.lit(0)).alias("bad_index"))
-
-
-def _before(lines: DataFrame, marks: DataFrame, keys: Sequence[str], line_no: str) -> DataFrame:
-    paired = K.attach(lines.select(*keys, line_no), marks, keys)
+    paired = K.attach(non_blank(lines, line).select(*keys, line_no), marks, keys)
     return paired.where(F.col(line_no) < F.col("bad_at")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_ahead")
+        F.count(F.lit(1)).alias("lines_ahead")
     )
 
 

@@ -25,8 +25,8 @@ def validate_lines(
     typed = Q.scan_lines(lines).select(*keys, "line_no", "is_bad", "record.*")
     bad_at = F.min(F.when(F.col("is_bad"), F.col("line_no"))).alias("bad_at")
     facts = Q.set_facts(typed, keys, allowed, also=[bad_at])
-    bad = Q.bad_line_index(lines, facts.select(*keys, "bad_at"), keys)
-    facts = facts.drop("bad_at").join(bad, list(keys), "left")
+    ahead = Q.lines_ahead(lines, facts.select(*keys, "bad_at"), keys)
+    facts = facts.join(ahead, list(keys), "left")
     if sets is not None:
         facts = sets.join(facts, list(keys), "left")
 
@@ -38,6 +38,6 @@ def validate_lines(
         given("reported_total"),
         given("script_clean"),
         given("output_found"),
-        F.col("bad_index"),
+        F.when(F.col("bad_at").isNotNull(), F.coalesce("lines_ahead", F.lit(0))),
         required,
-    ).drop("bad_index")
+    ).drop("bad_at", "lines_ahead")

@@ -41,8 +41,11 @@ _OUTPUT = "run_id string, attempt long, stagnant boolean, attempts_left long, ex
 _SEP = "\u001f"
 
 
-def _run_attempts(max_attempts: int) -> Callable:
+def _run_attempts(max_attempts: int, idle_ms: int | None) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             nxt, last, left, waiting = state.get
         else:
@@ -69,15 +72,20 @@ def _run_attempts(max_attempts: int) -> Callable:
                 )
         early = [f"{a}{_SEP}{int(s)}{_SEP}{m}" for a, (s, m) in queue.items()]
         state.update((nxt, last, left, early))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
     return step
 
 
-def live_attempts(attempts: DataFrame, max_attempts: int = M.MAX_ATTEMPTS) -> DataFrame:
+def live_attempts(
+    attempts: DataFrame, max_attempts: int = M.MAX_ATTEMPTS, idle_ms: int | None = None
+) -> DataFrame:
     """Stagnation and remaining budget as attempts arrive, per run.
 
     Keeps the last fingerprint, the budget and any attempt that came ahead of its turn.
-    Equals the batch operators once every attempt has arrived.
+    Equals the batch operators once every attempt has arrived. With ``idle_ms`` the state
+    of a run that heard nothing for that long is dropped; choose it longer than a run.
     """
     facts = attempts.select(
         "run_id",
@@ -86,7 +94,11 @@ def live_attempts(attempts: DataFrame, max_attempts: int = M.MAX_ATTEMPTS) -> Da
         E.fingerprint().alias("fingerprint"),
     )
     return facts.groupBy("run_id").applyInPandasWithState(
-        _run_attempts(max_attempts), _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout
+        _run_attempts(max_attempts, idle_ms),
+        _OUTPUT,
+        _STATE,
+        "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

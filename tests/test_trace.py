@@ -104,7 +104,7 @@ def test_live_attempts_match_batch_when_events_arrive_out_of_order(spark, tmp_pa
     for n, part in enumerate([df.where("attempt > 4"), df.where("attempt in (2, 4)"), df.where("attempt in (1, 3)")]):
         part.coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(n)))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    live = TS.live_attempts(stream.json(str(tmp_path / "in")), 3)
+    live = TS.live_attempts(stream.json(str(tmp_path / "in")), 3, idle_ms=3_600_000)
     TS.append_batches(live, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.schema("run_id string, attempt long, stagnant boolean, attempts_left long, exhausted boolean")
     got = out.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
