@@ -6,9 +6,9 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from crawlspark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 STREAMS = {n for n in QUERIES if n.startswith("stream_")} | {"pattern_store"}
 
 
@@ -23,6 +23,11 @@ def test_rows_equal_sql(spark, con, name):
     assert difference is None, difference
 
 
+def test_contract_lists_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
