@@ -7,9 +7,10 @@ A document's set holds its distinct five-word shingles. Two documents are linked
    into buckets. In each bucket every member is held against one hub, the member that shares most
    buckets with others (the original among its edited copies), so a bucket of m members gives
    m - 1 pairs;
-2. buckets whose members are still in several components are searched whole, but only pairs
-   across components whose estimate may reach the threshold leave the task. Buckets of more than
-   ``TILE`` members are dealt to tasks as pairs of tiles.
+2. buckets whose members are still in several components are searched whole, for pairs across
+   components. Estimates name the members that may link; only their texts come to the bucket, and
+   the pairs are checked there on full sets, so no list of pairs leaves a task. Buckets of more
+   than ``TILE`` members are dealt to tasks as pairs of tiles.
 
 Estimates only sort out pairs at least four standard deviations below the threshold; every link
 is confirmed on both full sets. A band of similarity 0.75 agrees with chance 0.32, so a link is
@@ -32,6 +33,7 @@ from crawlspark.llm.shingles import BAND, REGISTERS, WordHashes, estimate, finge
 PERCENT = 75
 DEVIATIONS = 4.0
 TILE = 1024
+SETS_BYTES = 64 << 20  # of decoded sets that a task keeps
 _BANDS = REGISTERS // BAND
 _SKETCHES = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
 
@@ -108,11 +110,11 @@ def _likely(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
-def _registers(column: pa.Array) -> np.ndarray:
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, REGISTERS).astype(np.uint16)
 
 
@@ -123,53 +125,95 @@ def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return near & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by bucket as tables of whole buckets, with the row ranges of the buckets of two rows or more."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = _numbers(table.column("bucket"))
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on in the next batch
+        rest = table.slice(last)
+        if last:
+            yield table.slice(0, last).combine_chunks(), _ranges(keys[:last])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), _ranges(_numbers(rest.column("bucket")))
+
+
+def _ranges(keys: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    ends = np.append(starts[1:], len(keys))
+    return [(int(lo), int(hi)) for lo, hi in zip(starts, ends, strict=True) if hi - lo > 1]
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """Likely pairs across components, from buckets sorted into runs (bucket columns, doc, component, side, size, sketch)."""
+    """Those bucket members that may link across components, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest, batch]).combine_chunks()
-            keys = _numbers(table.column("bucket").combine_chunks())
-            # the last bucket may go on in the next batch
-            end = int(np.searchsorted(keys != keys[-1], False)) if len(keys) else 0
-            end = len(keys) - int((keys[::-1] == keys[-1]).cumprod().sum()) if len(keys) else end
-            rest = table.slice(end).to_batches()
-            if end:
-                yield from found(table.slice(0, end), keys[:end])
-        if rest is not None:
-            table = pa.Table.from_batches(rest).combine_chunks()
-            if table.num_rows:
-                yield from found(table, _numbers(table.column("bucket").combine_chunks()))
-
-    def found(table: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        get = lambda c: _numbers(table.column(c).combine_chunks())
-        doc, comp, side, band, size = map(get, ("doc_id", "component_id", "side", "band", "n_shingles"))
-        registers = _registers(table.column("sketch").combine_chunks())
-        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        waiting, held = [], 0
-        for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            if hi - lo < 2:
-                continue
-            for i, j in _pairs(lo, hi, comp, side):
-                waiting.append((i, j))
-                held += len(i)
-                if held >= 50_000:
-                    yield judged(waiting, doc, band, size, registers)
-                    waiting, held = [], 0
-        if waiting:
-            yield judged(waiting, doc, band, size, registers)
-
-    def judged(waiting: list, doc, band, size, registers) -> pa.RecordBatch:
-        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        a, b = registers[i], registers[j]
-        keep = _may_link(a, b, size[i], size[j])
-        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-        # a pair leaves from the first band it shares, not from each
-        equal = (a == b).reshape(-1, _BANDS, BAND).all(2) & (a != 0).reshape(-1, _BANDS, BAND).any(2)
-        own = equal.argmax(1) == band[i]
-        u, v = doc[i[own]], doc[j[own]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+        for table, ranges in _buckets(batches):
+            doc, comp, side, band, size = (_numbers(table.column(c)) for c in ("doc_id", "component_id", "side", "band", "n_shingles"))
+            registers = _registers(table.column("sketch"))
+            found = np.zeros(table.num_rows, bool)
+            waiting, held = [], 0
+
+            def judge() -> None:
+                i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                a, b = registers[i], registers[j]
+                keep = _may_link(a, b, size[i], size[j])
+                i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+                # a pair counts in the first band it shares, not in each
+                equal = (a == b).reshape(-1, _BANDS, BAND).all(2) & (a != 0).reshape(-1, _BANDS, BAND).any(2)
+                own = equal.argmax(1) == band[i]
+                found[i[own]] = found[j[own]] = True
+
+            for lo, hi in ranges:
+                for pair in _pairs(lo, hi, comp, side):
+                    waiting.append(pair)
+                    held += len(pair[0])
+                    if held >= 50_000:
+                        judge()
+                        waiting, held = [], 0
+            if waiting:
+                judge()
+            yield from table.filter(pa.array(found)).to_batches()
+
+    return members.mapInArrow(run, members.schema)
+
+
+def _linked(members: DataFrame) -> DataFrame:
+    """Links across components within each bucket, found on full sets; those that join nothing new are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        for table, ranges in _buckets(batches):
+            doc, comp, side, size = (_numbers(table.column(c)) for c in ("doc_id", "component_id", "side", "n_shingles"))
+            registers, packed = _registers(table.column("sketch")), table.column("packed")
+            links = []
+            for lo, hi in ranges:
+                sets: dict[int, np.ndarray] = {}
+                room = SETS_BYTES
+
+                def full(k: int) -> np.ndarray:
+                    nonlocal room
+                    if k not in sets:
+                        if room < 0:
+                            sets.clear()
+                            room = SETS_BYTES
+                        sets[k] = shingle_set(unpack.decompress(packed[k].as_py()), hashes)
+                        room -= sets[k].nbytes
+                    return sets[k]
+
+                own = comp[lo:hi].copy()
+                for i, other in ((i[0], j) for i, j in _pairs(lo, hi, comp, side)):
+                    other = other[_may_link(np.broadcast_to(registers[i], (len(other), REGISTERS)), registers[other], size[i], size[other])]
+                    for j in other:
+                        x, y = own[i - lo], own[j - lo]
+                        if x != y and jaccard_at_least(full(i), full(j), PERCENT):
+                            links.append((doc[i], doc[j]))
+                            own[own == max(x, y)] = min(x, y)
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -234,11 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     members = placed.join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
     members = members.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-    more = _across(members.select("bucket", "side", "band", "doc_id", "component_id", "n_shingles", "sketch")).distinct()
-    more = scratch.table("more", more.join(tried, ["a", "b"], "left_anti"))
-    links = scratch.table("all", links.union(confirmed(more, texts)))
+    members = _across(members.select("bucket", "side", "band", "doc_id", "component_id", "n_shingles", "sketch"))
+    members = scratch.table("members", members).join(texts, "doc_id")
+    more = _linked(members.repartition("bucket").sortWithinPartitions("bucket", "doc_id"))
+    links = scratch.table("all", links.union(more))
     final = scratch.table("final", components(links, scratch, "two"))
-    scratch.drop("texts", "bands", "stars", "links", "first", "more", "all")
+    scratch.drop("texts", "bands", "stars", "links", "first", "members", "all")
 
     roots = classes.select(*sets, F.col("doc_id").alias("root")).join(final, F.col("root") == F.col("id"), "left")
     roots = roots.select(*sets, F.coalesce("component_id", "root").alias("class_root"))
