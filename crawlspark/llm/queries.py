@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import near_dup
+from crawlspark.llm import mixing, near_dup
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.draws(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op4_hyperminhash": op4_hyperminhash}
+QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op4_hyperminhash": op4_hyperminhash}
 ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP}
