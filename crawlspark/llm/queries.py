@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import mixing, near_dup
+from crawlspark.llm import mixing, near_dup, packing
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_monotone_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 SQL_NEAR_DUP = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -47,5 +51,5 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op4_hyperminhash": op4_hyperminhash}
+QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op4_hyperminhash": op4_hyperminhash, "op5_monotone_queue": op5_monotone_queue}
 ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP}
