@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import mixing, near_dup, packing
+from crawlspark.llm import mixing, near_dup, packing, toxicity
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model, "score")
+    held_out = toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op4_hyperminhash": op4_hyperminhash, "op5_monotone_queue": op5_monotone_queue}
+QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op2_kneser_ney": op2_kneser_ney, "op4_hyperminhash": op4_hyperminhash, "op5_monotone_queue": op5_monotone_queue}
 ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP}
