@@ -33,7 +33,7 @@ from crawlspark.llm.shingles import BAND, REGISTERS, WordHashes, estimate, finge
 PERCENT = 75
 DEVIATIONS = 4.0
 TILE = 1024
-SETS_BYTES = 64 << 20  # of decoded sets that a task keeps
+SETS_BYTES = 32 << 20  # of decoded sets that a task keeps
 _BANDS = REGISTERS // BAND
 _SKETCHES = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
 

@@ -74,14 +74,14 @@ class Model:
 
 
 class Scorer(dict):
-    """Difference of the two log-likelihoods of a word, remembered; emptied at half a million words."""
+    """Difference of the two log-likelihoods of a word, remembered; emptied at 200,000 words."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         padded = "^" * (ORDER - 1) + word + "$"
         total = 0.0
@@ -125,7 +125,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for packed, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 held[toxic.as_py()].update(words_of(unpack.decompress(packed.as_py()).decode("utf-8", "replace")))
-            if len(held[0]) + len(held[1]) > 500_000:
+            if len(held[0]) + len(held[1]) > 200_000:
                 yield from counted(held)
                 held = (Counter(), Counter())
         yield from counted(held)
