@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import mixing, near_dup, packing, toxicity
+from crawlspark.llm import html_text, mixing, near_dup, packing, toxicity, url_filter, warc
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,31 @@ def op5_monotone_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.rules_table(spark, RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+SQL_RULES = f"""
+WITH rules(verdict, key) AS (VALUES {", ".join(f"('{v}', '{k}')" for v, k in RULES)}),
+pages_of AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path, row_number() OVER () AS n FROM pages),
+fits AS (
+  SELECT n, max_by(key, length(key)) AS rule, max_by(verdict, length(key)) AS verdict FROM pages_of, rules
+  WHERE (host = split_part(key, '/', 1) OR ends_with(host, '.' || split_part(key, '/', 1)))
+    AND starts_with(path, substr(key, instr(key, '/'))) GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM pages_of LEFT JOIN fits USING (n)
+"""
+
 SQL_NEAR_DUP = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -59,5 +89,13 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_splitting_tree": op1_splitting_tree, "op2_kneser_ney": op2_kneser_ney, "op4_hyperminhash": op4_hyperminhash, "op5_monotone_queue": op5_monotone_queue}
-ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP}
+QUERIES: dict[str, Query] = {
+    "op1_splitting_tree": op1_splitting_tree,
+    "op2_kneser_ney": op2_kneser_ney,
+    "op3_dictionary_warc": op3_dictionary_warc,
+    "op4_hyperminhash": op4_hyperminhash,
+    "op5_monotone_queue": op5_monotone_queue,
+    "op8_text_ratio": op8_text_ratio,
+    "op9_blocked_bloom": op9_blocked_bloom,
+}
+ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP, "op9_blocked_bloom": SQL_RULES}
