@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import html_text, mixing, near_dup, packing, toxicity, url_filter, warc
+from crawlspark.llm import html_text, mixing, near_dup, nearest, packing, toxicity, training_order, url_filter, vector_dup, warc
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,15 @@ def op5_monotone_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = training_order.materialise(table(spark, sf_dir, "documents"))
+    return out.select("sequence_id", "slot", "shard", "byte_offset", "tokens", "ids_crc32")
+
+
+def op7_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_text_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +72,10 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM pages_of LEFT JOIN fits USING (n)
 """
 
+def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 SQL_NEAR_DUP = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -89,13 +102,33 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """
 
+SQL_VECTOR_DUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM v LEFT JOIN degree ON degree.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_splitting_tree": op1_splitting_tree,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_dictionary_warc": op3_dictionary_warc,
     "op4_hyperminhash": op4_hyperminhash,
     "op5_monotone_queue": op5_monotone_queue,
+    "op6_feistel_order": op6_feistel_order,
+    "op7_pca_tiles": op7_pca_tiles,
     "op8_text_ratio": op8_text_ratio,
     "op9_blocked_bloom": op9_blocked_bloom,
+    "op10_stable_projections": op10_stable_projections,
 }
-ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP, "op9_blocked_bloom": SQL_RULES}
+ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP, "op7_pca_tiles": SQL_VECTOR_DUP, "op9_blocked_bloom": SQL_RULES}
