@@ -1,10 +1,12 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a slot, shards have a fixed stride.
 
-Sequences of 2048 ids (see ``packing``) are numbered by partition and place in it; a balanced
-Feistel network over the next even power of two, walked along its cycle until it falls below the
-number of sequences, is a permutation of 0..N-1 that any task computes for itself. Slots are dealt
-to tasks by ranges of shards and written in order, each at (slot - first slot) * stride. A reader
-that knows its slot opens the shard at that byte and goes on.
+Sequences of 2048 ids (see ``packing``) are numbered by split and place in it, inside a domain of
+``SPLITS * CAPACITY`` numbers. A balanced Feistel network over the next even power of two, walked along its
+cycle until it falls into the domain, permutes it, so any task computes a sequence's place in the
+order for itself, without knowing how many there are; texts are tokenised once and ids cross one
+shuffle. Equal ranges of the permuted domain are the shards. A task writes a shard's sequences in
+order, each at rank * stride; the global slot is the number of sequences in the shards before,
+plus the rank. A reader that knows its slot opens the shard at that byte and goes on.
 
 Ids are unsigned 16-bit little-endian, short sequences padded. Shards are named by number and a
 random part; only those listed by finished tasks count.
@@ -26,6 +28,11 @@ from crawlspark.llm.packing import LENGTH, rows, windows
 from crawlspark.llm.scratch import Scratch
 
 SHARD_SEQUENCES = 16_384
+#: Most splits of an input, and most sequences of a split; more is an error.
+SPLITS = 1 << 20
+CAPACITY = 3_000_000
+#: Bytes of text that make a token, roughly; only the number of shards follows from it.
+_TOKEN_BYTES = 3
 PADDING = 50_256
 KEY = 2024
 _ROUNDS = 4
@@ -61,6 +68,8 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pack, out = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1), []
         for place, (_, ids) in enumerate(windows(rows(batches), length, vocabulary)):
+            if part >= SPLITS or place >= CAPACITY:
+                raise ValueError(f"split {part} is beyond {SPLITS} or has more than {CAPACITY} sequences")
             data = ids.astype("<u2").tobytes()
             out.append((part, place, len(ids), zlib.crc32(data), pack.compress(data)))
             if len(out) >= 1024:
@@ -81,58 +90,60 @@ def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = No
 def materialise(docs: DataFrame, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, vocabulary: str | None = None) -> tuple[DataFrame, str]:
     """Write the documents' sequences in training order; one row per sequence, and the shards' folder.
 
-    Rows: sequence_id, slot, shard, path, byte_offset, tokens, ids_crc32 (of the ids as written, without
-    padding). Defined results: null and empty texts are the closing id alone; an empty table gives no
-    shards. Columns other than doc_id and text are not read.
+    Rows: sequence_id (split and place), slot, shard, path, byte_offset, tokens, ids_crc32 (of the ids as
+    written, without padding). Shards hold about ``shard_sequences`` sequences. Defined results: null and
+    empty texts are the closing id alone; an empty table gives no shards. Columns other than doc_id and
+    text are not read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "training-order")
-    found = scratch.table("sequences", sequences(docs, length, vocabulary))
-    per = found.groupBy("part").agg(F.count("*").alias("n"))
-    per = per.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "first")  # one row per split
-    total = found.count()
+    scratch = Scratch(docs.sparkSession, "training-order")
+    domain = SPLITS * CAPACITY
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    shards = max(1, -(-size // (_TOKEN_BYTES * length * shard_sequences)))
 
     @F.pandas_udf("long")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, key))
-
-    index = F.col("first") + F.col("place")
-    placed = found.join(per, "part").withColumn("sequence_id", index).withColumn("slot", slot_of("sequence_id"))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_sequences).cast("long"))
-    shards = max(1, -(-total // shard_sequences))
-    placed = placed.select("sequence_id", "slot", "shard", "tokens", "ids_crc32", "packed")
-    dealt = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    def order_of(number: pd.Series) -> pd.Series:
+        return pd.Series(feistel(number.to_numpy(), domain, key))
+
+    placed = sequences(docs, length, vocabulary).withColumn("sequence_id", F.col("part") * CAPACITY + F.col("place"))
+    placed = placed.withColumn("order", order_of("sequence_id"))
+    placed = placed.withColumn("shard", F.floor(F.col("order") / -(-domain // shards)).cast("long"))
+    placed = placed.select("sequence_id", "order", "shard", "tokens", "ids_crc32", "packed")
+    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "order")
     folder = scratch.path("shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, now, out, path = zstandard.ZstdDecompressor(), None, None, None
+        unpack, now, out, path, rank = zstandard.ZstdDecompressor(), None, None, None, 0
         store, inner = fs.FileSystem.from_uri(folder)
         store.create_dir(inner, recursive=True)
         for batch in batches:
-            paths = []
+            paths, ranks = [], []
             for shard, packed in zip(batch.column(2).to_pylist(), batch.column(5), strict=True):
                 if shard != now:
                     if out:
                         out.close()
-                    now, name = shard, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+                    now, rank, name = shard, 0, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
                     path, out = f"{folder}/{name}", store.open_output_stream(f"{inner}/{name}")
                 ids = np.full(length, PADDING, "<u2")
                 given = np.frombuffer(unpack.decompress(packed.as_py()), "<u2")
                 ids[: len(given)] = given
                 out.write(ids.tobytes())
                 paths.append(path)
-            slot = batch.column(1).to_numpy()
-            offset = pa.array((slot % shard_sequences) * length * 2)
+                ranks.append(rank)
+                rank += 1
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(paths, pa.string()), offset, batch.column(3), batch.column(4)],
-                names=["sequence_id", "slot", "shard", "path", "byte_offset", "tokens", "ids_crc32"],
+                [batch.column(0), batch.column(2), pa.array(paths, pa.string()), pa.array(ranks, pa.int64()), batch.column(3), batch.column(4)],
+                names=["sequence_id", "shard", "path", "rank", "tokens", "ids_crc32"],
             )
         if out:
             out.close()
 
-    written = dealt.mapInArrow(write, "sequence_id long, slot long, shard long, path string, byte_offset long, tokens long, ids_crc32 long")
-    result = scratch.table("slots", written)
-    scratch.drop("sequences")
-    return result, folder
+    written = dealt.mapInArrow(write, "sequence_id long, shard long, path string, rank long, tokens long, ids_crc32 long")
+    written = scratch.table("written", written)
+    per = written.groupBy("shard").agg(F.count("*").alias("n"))  # one row per shard
+    per = per.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
+    out = written.join(per, "shard")
+    offset = F.col("rank") * (2 * length)
+    return out.select("sequence_id", (F.col("first") + F.col("rank")).alias("slot"), "shard", "path", offset.alias("byte_offset"), "tokens", "ids_crc32"), folder
 
 
 def read_sequences(path: str, first: int, count: int, length: int = LENGTH) -> np.ndarray:
