@@ -119,7 +119,7 @@ def _copies(got):
 
 def test_splitting_tree_keeps_quotas(spark):
     quotas = [(0, 1000), (1, 3), (2, 0), (3, 77)]
-    got = mixing.shard_quotas(spark.range(1), quotas, 16, 7).collect()
+    got = mixing.shard_quotas(spark.range(1), quotas, 68, 7).collect()
     per, shards = Counter(), Counter()
     for r in got:
         per[r.place] += r.quota
