@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 from crawlspark import markers as M
@@ -20,6 +23,8 @@ _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _INVISIBLE = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 )
+# A part of an opening tag: a quoted value as a whole, so a > inside it doesn't end the tag.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
 URL_LITERAL = r"""["'`]((?:https?:)?//[^"'`\s]+|/[A-Za-z0-9._~/%+?&=-]+)["'`]"""
 
 
@@ -28,11 +33,35 @@ def markup(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _INVISIBLE, "")
 
 
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# HTML's names of Latin letters, punctuation and signs; other names stay as they are.
+_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_NAME_TEXT = "\u0002".join(f"{name}\u0001{char}" for name, char in _NAMED.items())
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, so nested expressions don't multiply."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unescape(text: Column) -> Column:
-    """The five entities HTML shares with XML; the ampersand goes last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references by number or name, each decoded once; texts without any are left alone."""
+    names = F.str_to_map(F.lit(_NAME_TEXT), F.lit("\u0002"), F.lit("\u0001"))  # one literal, folded to a map
+
+    def decoded(piece: Column) -> Column:
+        # every piece but the first starts with what stood behind a reference's ampersand
+        ref = F.regexp_extract(piece, "^" + _REFERENCE[1:], 1)
+        digits = F.when(F.startswith(F.lower(ref), F.lit("#x")), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8))
+        code = digits.try_cast("int")
+        # UTF-32 bytes of the number; nothing outside Unicode
+        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        known = F.when(F.startswith(ref, F.lit("#")), char).when(ref != "", F.try_element_at(names, ref))
+        return F.coalesce(F.concat(known, F.substr(piece, F.char_length(ref) + 2)), F.concat(F.lit("&"), piece))
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), decoded), ""))
+
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&"), joined)).otherwise(t))
 
 
 def _unquote(value: Column) -> Column:
@@ -41,7 +70,7 @@ def _unquote(value: Column) -> Column:
 
 def attribute_values(html: Column, tag: str, attribute: str) -> Column:
     """Values of one attribute over all tags of a name, in page order."""
-    pattern = rf"(?is)<{tag}(?:\s[^>]*?)?\s{attribute}\s*=\s*{_VALUE}"
+    pattern = rf"(?is)<{tag}(?:\s{_INSIDE}*?)?\s{attribute}\s*=\s*{_VALUE}"
     return F.transform(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda v: unescape(_unquote(v))
     )
@@ -67,8 +96,7 @@ def script_sources(html: Column) -> Column:
 
 def text_of(html: Column) -> Column:
     """Descendant text of a fragment, trimmed, NULL when nothing is left."""
-    flat = F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"^\s+|\s+$", "")
-    return F.when(flat != "", flat)
+    return F.nullif(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def element_pattern(tag: str, condition: str = "") -> str:
@@ -91,8 +119,30 @@ def attr_condition(name: str, value: str) -> str:
 
 def element(html: Column, tag: str, condition: str = "") -> Column:
     """Inner HTML of the first such element, NULL when it is empty or the page has none."""
-    pattern = rf"(?is){element_pattern(tag, condition)}(.*?)</{tag}\s*>"
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    return once(html, lambda page: inner(page, F.regexp_extract(page, rf"(?is){element_pattern(tag, condition)}", 0), tag))
+
+
+def inner(html: Column, opening: Column, tag: str | Column) -> Column:
+    """What stands between an opening tag of the page and the closing tag that matches it, or the page's end."""
+    name = F.lit(tag) if isinstance(tag, str) else tag
+    both = F.concat(F.lit("(?is)(<"), name, F.lit(rf"(?=[\s>/]){_INSIDE}*+>|</"), name, F.lit(r"\s*>)"))
+
+    def grown(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        goes_on = (state["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"), (state["pieces"] + goes_on.cast("int")).alias("pieces"))
+
+    def held(pieces: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("pieces"))
+        kept = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces) - 1), start, grown)["pieces"]
+        return F.nullif(F.array_join(F.slice(pieces, F.lit(1), kept), ""), F.lit(""))
+
+    def behind(found: Column) -> Column:
+        rest = F.substr(html, F.instr(html, found) + F.char_length(found))
+        marked = F.regexp_replace(rest, both, F.lit("\u0001$1"))
+        return F.when(found != "", once(F.split(marked, "\u0001"), held))
+
+    return once(opening, behind)
 
 
 def element_text(html: Column, tag: str, condition: str = "") -> Column:
@@ -191,7 +241,7 @@ def sample(text: Column, max_chars: int = 6000) -> Column:
 
 def sample_or_note(text: Column, max_chars: int = 8000) -> Column:
     kept = F.when(F.coalesce(text, F.lit("")) != "", sample(text, max_chars))
-    return F.coalesce(kept, F.lit("(no concrete sample captured)"))
+    return F.coalesce(kept, F.lit("(no sample)"))
 
 
 def job_link_sample(html: Column, max_items: int = 5, max_chars: int = 6000) -> Column:

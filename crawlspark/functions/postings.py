@@ -226,13 +226,11 @@ GENERIC_TAGS = {
 
 
 def _text_behind(html: Column, tag: Column) -> Column:
-    """Text from an opening tag to the next closing tag of its name, NULL without a tag.
+    """Text from an opening tag to the closing tag that matches it, NULL without a tag.
 
     ``tag`` is the first of its kind, so its first occurrence is the element looked for.
     """
-    rest = F.substr(html, F.position(tag, html) + F.length(tag))
-    name = F.regexp_extract(tag, "^<([A-Za-z0-9]+)", 1)
-    return H.text_of(F.split_part(rest, F.concat(F.lit("</"), name), F.lit(1)))
+    return H.text_of(H.inner(html, tag, F.regexp_extract(tag, "^<([A-Za-z0-9]+)", 1)))
 
 
 def generic_detail(html: Column, url: Column) -> Column:

@@ -180,5 +180,5 @@ def execution_detail(timed_out: Column, exit_code: Column, stderr: Column, tail:
     failed = F.coalesce(exit_code != 0, F.lit(False))
     text = F.coalesce(stderr, F.lit(""))
     return F.when(
-        F.coalesce(timed_out, F.lit(False)), "Sandbox wall-clock timeout exceeded."
+        F.coalesce(timed_out, F.lit(False)), "The run was ended at its time limit."
     ).when(failed, F.right(text, F.lit(tail)))

@@ -52,16 +52,28 @@ def _canonical(items: Column) -> Column:
     return F.transform(items, lambda i: J.canonical(i))
 
 
-def api_verdicts(best: DataFrame, probes: DataFrame, store: DataFrame, key: str = "domain") -> DataFrame:
-    """Pagination and filter of each best API, by URL for GET and by body otherwise."""
-    hint = ME.platform_hint(U.authority(F.col("url")))
-    signed = ME.lookup(
-        best.withColumn("signature", ME.site_signature(hint, J.sample_keys(F.col("items")[0]))), store
-    )
-    base = best.select(key, F.lit(V.BASE).alias("trial"), F.col("items"))
+def api_verdicts(
+    best: DataFrame, pages: DataFrame, probes: DataFrame, store: DataFrame, key: str = "domain"
+) -> DataFrame:
+    """Pagination and filter of each best API, by URL for GET and by body otherwise.
+
+    A GET source is signed, with the platform of its careers page (``pages``: key, url); trials are
+    compared with the plain replay of its URL (trial ``base``) where one was stored. A body is
+    only taken as filterable when it is JSON.
+    """
+    careers = pages.select(key, ME.platform_hint(U.authority(F.col("url"))).alias("_hint"))
+    is_get = F.col("method") == "GET"
+    signature = ME.site_signature(F.col("_hint"), J.sample_keys(F.col("items")[0]))
+    signed = ME.lookup(K.attach(best, careers, [key]).withColumn("signature", F.when(is_get, signature)), store)
     answers = probes.where(F.col("kind") == "api").select(
         key, "trial", "status", J.record_list(F.col("body")).alias("items")
     )
+    replayed = answers.where((F.col("trial") == V.BASE) & F.col("status").isNotNull())
+    replayed = replayed.select(key, F.coalesce("items", F.array().cast("array<string>")).alias("_replay"))
+    answers = answers.where(F.col("trial") != V.BASE)
+    base = K.attach(best.select(key, "method", "items"), replayed, [key])
+    shown = F.when(is_get & F.col("_replay").isNotNull(), F.col("_replay")).otherwise(F.col("items"))
+    base = base.select(key, F.lit(V.BASE).alias("trial"), shown.alias("items"))
     items = _items(base, key, _canonical(F.col("items")), F.lit(True)).unionByName(
         _items(answers, key, _canonical(F.col("items")), F.col("status").isNotNull())
     )
@@ -85,14 +97,14 @@ def api_verdicts(best: DataFrame, probes: DataFrame, store: DataFrame, key: str
     param = F.when(F.col("is_graphql"), "variables").otherwise("body")
     out = judged(out, [V.NEXT_PAGE], V.body_pagination, mechanism=F.col("_moved"), param=param, name="_p_body")
     out = judged(out, _BODY_FILTERS, V.body_filter, name="_f_body")
-    is_get = F.col("method") == "GET"
+    f_body = F.when(F.get_json_object("json_body", "$").isNotNull(), F.col("_f_body"))
     return out.select(
         key,
         F.col("method").alias("api_method"),
         F.col("is_graphql").alias("api_is_graphql"),
         "signature",
         F.when(is_get, F.col("_p_get")).otherwise(F.col("_p_body")).alias("api_pagination"),
-        F.when(is_get, F.col("_f_get")).otherwise(F.col("_f_body")).alias("api_filter"),
+        F.when(is_get, F.col("_f_get")).otherwise(f_body).alias("api_filter"),
     )
 
 
@@ -152,10 +164,10 @@ def build(
     pages: key, url, status, html, interactions, content_type, pdf_text, from_render_service
     (one row per domain); plain_pages: key, html; captures: key, seq, url, method,
     request_body, body; probes: key, kind (api or html), trial, status, body; store: learned
-    patterns. Every table is cut down to one row per domain before the final joins, so no
-    join carries HTML or payloads and none is skewed.
+    patterns. Every table is cut down to one row per domain before the final joins. The best
+    capture's payload does pass the rank shuffle and the join with its verdicts.
     """
-    api = api_verdicts(best_api(captures, key), probes, store, key)
+    api = api_verdicts(best_api(captures, key), pages, probes, store, key)
     links = link_verdicts(pages, plain_pages, probes, store, key)
     facts = pages.select(
         key,
@@ -173,7 +185,7 @@ def build(
         "india_filter_mechanism", "requires_browser", "requires_firecrawl", "reported_total_count",
         F.when(F.col("api_method").isNotNull(), F.col("signature")).otherwise(F.col("link_signature")).alias("signature"),
         F.when(F.col("api_method").isNotNull(), F.col("api_pagination")["param"])
-        .otherwise(F.col("html_pagination")["param"]).alias("pagination_param"),
+        .when(F.col("source_type") == "ssr_html", F.col("html_pagination")["param"]).alias("pagination_param"),
         ME.platform_hint(U.authority(F.col("careers_url"))).alias("ats_hint"),
         "sufficient", "confidence",
     )

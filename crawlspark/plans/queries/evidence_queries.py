@@ -196,7 +196,7 @@ def repair_routing(spark, sf_dir):
     "execution_category",
     f"""SELECT doc_id, CASE WHEN lang = 'de' THEN 'timeout' WHEN doc_id % 3 = 0 THEN 'none'
         WHEN lang = 'en' THEN 'syntax_error' ELSE 'runtime_error' END AS category,
-      CASE WHEN lang = 'de' THEN 'Sandbox wall-clock timeout exceeded.' WHEN doc_id % 3 = 0 THEN 'none'
+      CASE WHEN lang = 'de' THEN 'The run was ended at its time limit.' WHEN doc_id % 3 = 0 THEN 'none'
         ELSE right(text || CASE WHEN lang = 'en' THEN ' SyntaxError: bad' ELSE ' ValueError' END, 2000) END AS detail FROM documents""",
 )
 def execution_category(spark, sf_dir):

@@ -12,7 +12,7 @@ from crawlspark.operators import keyed as K
 from crawlspark.operators import links as L
 from crawlspark.operators import verdicts as V
 from crawlspark.plans.inputs import (
-    SQL_LISTING_PAGES, SQL_SLUG, listing_pages, page_slug, spread, sql_any, sql_authority,
+    SQL_LISTING_PAGES, SQL_SLUG, listing_pages, page_slug, sql_any, sql_authority,
     sql_host, sql_hrefs, sql_scheme, table,
 )
 from crawlspark.plans.registry import query
@@ -25,11 +25,11 @@ _NAV = list(M.NAV_SLUG_WORDS)
 @query(
     "page_links",
     f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, hrefs[i] AS href
-      FROM (SELECT page_id, {sql_hrefs('html')} AS hrefs FROM pages), range(1, 1000) t(i)
-      WHERE i <= len(hrefs) AND hrefs[i] <> ''""",
+      FROM (SELECT page_id, hrefs, generate_subscripts(hrefs, 1) AS i FROM (SELECT page_id, {sql_hrefs('html')} AS hrefs FROM pages))
+      WHERE hrefs[i] <> ''""",
 )
 def page_links(spark, sf_dir):
-    links = L.page_links(spread(table(spark, sf_dir, "pages")), ["page_id"])
+    links = L.page_links(table(spark, sf_dir, "pages"), ["page_id"])
     return links.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
@@ -59,8 +59,8 @@ def job_links(spark, sf_dir):
     f"""WITH {SQL_LISTING_PAGES} SELECT page_id, pos, href, link_url, {sql_host('link_url')} AS link_host FROM (
       SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, hrefs[i] AS href,
         CASE WHEN starts_with(hrefs[i], 'https://') THEN hrefs[i] ELSE {_ROOT} || hrefs[i] END AS link_url
-      FROM (SELECT page_id, url, {sql_hrefs('html')} AS hrefs FROM listing_pages), range(1, 1000) t(i)
-      WHERE i <= len(hrefs) AND NOT starts_with(hrefs[i], 'mailto:') AND NOT contains(hrefs[i], '{{{{'))""",
+      FROM (SELECT *, generate_subscripts(hrefs, 1) AS i FROM (SELECT page_id, url, {sql_hrefs('html')} AS hrefs FROM listing_pages))
+      WHERE NOT starts_with(hrefs[i], 'mailto:') AND NOT contains(hrefs[i], '{{{{'))""",
 )
 def resolved_links(spark, sf_dir):
     links = L.resolved_links(listing_pages(spark, sf_dir), ["page_id"])
@@ -87,7 +87,7 @@ def denylist_anti(spark, sf_dir):
 
 def _script_pages(spark, sf_dir):
     """Pages with a script whose literals come from the page's own URL and title."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     slug, pid = page_slug(F.col("html")), F.col("page_id").cast("string")
     script = F.concat(
         F.lit('<script src="/static/app-'), pid, F.lit('.js"></script><script src="https://www.hotjar.com/jobs.js"></script>'),
@@ -166,7 +166,7 @@ def _sql_text(h: str) -> str:
 
 @query("clean_html", f"SELECT page_id, {_sql_clean('html')} AS cleaned FROM pages")
 def clean_html(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages")).select("page_id", H.clean(F.col("html")).alias("cleaned"))
+    return table(spark, sf_dir, "pages").select("page_id", H.clean(F.col("html")).alias("cleaned"))
 
 
 @query(
@@ -178,7 +178,7 @@ def clean_html(spark, sf_dir):
 )
 def element_text(spark, sf_dir):
     html = F.col("html")
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         H.element_text(html, "title").alias("title"),
         H.element_text(html, "h1").alias("heading"),
@@ -190,7 +190,7 @@ def element_text(spark, sf_dir):
 @query(
     "evidence_sample",
     f"""WITH {SQL_LISTING_PAGES} SELECT page_id, substr(cleaned, 1, 8000) AS page_sample,
-      CASE WHEN slug = '' THEN '(no concrete sample captured)' ELSE substr(slug, 1, 8000) END AS slug_sample
+      CASE WHEN slug = '' THEN '(no sample)' ELSE substr(slug, 1, 8000) END AS slug_sample
     FROM (SELECT page_id, slug, {_sql_clean('html')} AS cleaned FROM listing_pages)""",
 )
 def evidence_sample(spark, sf_dir):
@@ -227,7 +227,7 @@ def job_link_sample(spark, sf_dir):
 
 def _control_pages(spark, sf_dir):
     """Pages whose language decides which control, and whether it was used."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     control = (
         F.when(lang == "fr", '<a rel="next" href="/p2">2</a>')
@@ -271,7 +271,7 @@ _LINK_SETS = f"""rendered AS (SELECT DISTINCT {sql_host('url')} AS host, unnest(
 
 def _link_sets(spark, sf_dir):
     """Rendered: the links of all pages of a host; plain: those it also serves over TLS."""
-    pages = spread(table(spark, sf_dir, "pages")).withColumn("host", U.host(F.col("url")))
+    pages = table(spark, sf_dir, "pages").withColumn("host", U.host(F.col("url")))
     links = L.page_links(pages, ["host", "url"])
     return links, links.where(F.startswith(F.col("url"), F.lit("https://")))
 
@@ -304,7 +304,7 @@ def set_difference(spark, sf_dir):
         regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS body FROM pages)""",
 )
 def pdf_sources(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     content_type = F.when(lang == "fr", "Application/PDF; charset=binary").otherwise("text/html")
     return pages.select(

@@ -14,7 +14,7 @@ from crawlspark.functions import predicates as P
 from crawlspark.functions import replies as R
 from crawlspark.functions import urls as U
 from crawlspark.operators import keyed as K
-from crawlspark.plans.inputs import spread, sql_host, table
+from crawlspark.plans.inputs import sql_host, table
 from crawlspark.plans.registry import query
 from crawlspark.sources import readers
 
@@ -23,7 +23,7 @@ _DECOY = '{"text":"[{\\"id\\":1}]","a":{"b":{"c":{"d":{"e":[{"id":1}]}}}}}'
 
 def captures(spark, sf_dir):
     """(domain, seq, cls, url, method, request_body, body) of every order."""
-    o = spread(table(spark, sf_dir, "orders"))
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     cls = F.substring("o_orderpriority", 1, 1).cast("int")
     numbers = F.sequence(F.lit(1), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -265,7 +265,7 @@ def search_results(spark, sf_dir):
     FROM (SELECT *, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages)""",
 )
 def render_results(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     data = F.struct(
         F.col("html"),
@@ -299,7 +299,7 @@ def page_scan(spark, sf_dir):
       CASE WHEN role = 'assistant' THEN turn + 1 ELSE 0 END AS tokens_completion FROM conversations""",
 )
 def model_replies(spark, sf_dir):
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     usage = F.struct(
         F.length("text").alias("prompt_tokens"),
         F.when(F.col("role") == "assistant", F.col("turn") + 1).alias("completion_tokens"),
@@ -324,7 +324,7 @@ def model_replies(spark, sf_dir):
 )
 def fenced_json(spark, sf_dir):
     """The reply text with a named fence, a bare object or a code fence put around it."""
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     obj = F.concat(F.lit('{"conv": '), F.col("conv_id").cast("string"), F.lit(', "turn": '), F.col("turn").cast("string"), F.lit("}"))
     reply = (
         F.when(F.col("role") == "assistant", F.concat("text", F.lit(" ```json\n"), obj, F.lit("\n``` done\n")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crawlspark import markers as M
 from crawlspark.functions import predicates as P
 from crawlspark.operators import quality as Q
-from crawlspark.plans.inputs import spread, sql_any, table
+from crawlspark.plans.inputs import sql_any, table
 from crawlspark.plans.record_plan import validate_lines
 from crawlspark.plans.registry import query
 from crawlspark.schema import RECORD_FIELDS
@@ -84,14 +84,14 @@ _SQL_REPORT = f"""WITH {_SQL_RECORDS}, {_SQL_SETS}, facts AS (
   SELECT set_id, step = 9 AS passed, CASE WHEN step <= 2 THEN 0 ELSE n END AS row_count,
     ['contains_regex', 'runtime_error', 'pagination_undercount', 'schema_drift', 'schema_drift', 'schema_drift',
      'zero_results_filter_mismatch', 'mojibake_encoding', NULL][step] AS failure_category,
-    CASE step WHEN 1 THEN 'Static check found `import re` or regex usage in generated source.'
-      WHEN 2 THEN 'Output file not found.'
-      WHEN 3 THEN 'Got ' || n || ' rows, source reported ' || reported_total || '.'
-      WHEN 4 THEN 'Required field ''title'' is null in >50% of rows.'
-      WHEN 5 THEN 'Required field ''job_id'' is null in >50% of rows.'
-      WHEN 6 THEN 'Required field ''url'' is null in >50% of rows.'
-      WHEN 7 THEN 'Found other country codes: ' || array_to_string(others, ', ')
-      WHEN 8 THEN 'Text fields contain UTF-8-decoded-as-Latin-1 artifacts.' ELSE 'All checks passed.' END AS details,
+    CASE step WHEN 1 THEN 'The script uses regular expressions.'
+      WHEN 2 THEN 'No output was written.'
+      WHEN 3 THEN 'Got ' || n || ' rows of ' || reported_total || '.'
+      WHEN 4 THEN 'Required field ''title'' is missing in over half of the rows.'
+      WHEN 5 THEN 'Required field ''job_id'' is missing in over half of the rows.'
+      WHEN 6 THEN 'Required field ''url'' is missing in over half of the rows.'
+      WHEN 7 THEN 'Rows of other countries: ' || array_to_string(others, ', ')
+      WHEN 8 THEN 'Texts hold UTF-8 bytes read as Latin-1.' ELSE 'All checks passed.' END AS details,
     CASE WHEN step >= 7 THEN CAST(step > 7 AS VARCHAR) ELSE 'unknown' END AS all_allowed,
     round(CASE WHEN step >= 4 THEN r_job_id ELSE -1 END, 6) AS job_id_rate
   FROM judged"""
@@ -179,7 +179,7 @@ _DAMAGED = "CASE WHEN lang = 'fr' THEN replace(text, 'é', 'Ã©') WHEN lang = '
 )
 def mojibake_scan(spark, sf_dir):
     """The text as it is, and a copy with the accents of its language decoded wrongly."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     copy = (
         F.when(F.col("lang") == "fr", F.replace("text", F.lit("é"), F.lit("Ã©")))
         .when(F.col("lang") == "es", F.replace("text", F.lit("ñ"), F.lit("Ã±")))
@@ -209,7 +209,7 @@ scanned AS (
 
 
 def event_lines(spark, sf_dir):
-    e = spread(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     kind, value, props = F.col("event_type"), F.col("value"), F.col("props")
     k = F.try_variant_get(F.try_parse_json(props), "$.k", "string")
     line = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlspark.operators import keyed as K
 from crawlspark.operators import trace as TR
-from crawlspark.plans.inputs import spread, table
+from crawlspark.plans.inputs import table
 from crawlspark.plans.queries.evidence_queries import CHUNK, SQL_ATTEMPTS_WITH, attempts, k_of
 from crawlspark.plans.queries.quality_queries import _SQL_LINE_REPORT, event_lines
 from crawlspark.plans.registry import query
@@ -78,7 +78,7 @@ def credit_delta(spark, sf_dir):
 
 def trace_lines(spark, sf_dir):
     """Trace events as JSON lines."""
-    t = spread(trace_events(spark, sf_dir)).join(
+    t = trace_events(spark, sf_dir).join(
         table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text"), "event_id", "left"
     )
     node = F.when(F.col("k") % 10 != 0, F.concat(F.lit("node"), (F.col("k") % 3).cast("string")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def local_session(cores: int | str = "*", app: str = "crawlspark", **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The setting names storage every executor can reach. Only a session without it
-    (a bare local one) falls back to a folder of its own.
+    The setting names storage every executor can reach. A local session without it, as in
+    tests, gets a folder of its own; on a cluster it has to be set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="crawlspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/crawlspark/{purpose}-{uuid.uuid4().hex}"

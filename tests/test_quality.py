@@ -63,7 +63,7 @@ def test_details(report):
     assert report["number"].details == "Line 2 does not parse as a record."
     assert report["broken"].details == "Line 1 does not parse as a record."
     assert report["array"].details == "Line 0 does not parse as a record."
-    assert report["short"].details == "Got 7 rows, source reported 10."
+    assert report["short"].details == "Got 7 rows of 10."
     assert report["foreign"].details.endswith("US")
     assert report["few_titles"].details.startswith("Required field 'title'")
     assert report["pass"].details == "All checks passed."
