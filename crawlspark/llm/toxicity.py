@@ -114,7 +114,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> D
     """(packed, toxic) of labelled documents. A document labelled twice counts as toxic if any label says so."""
     truth = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     chosen = docs.where(F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _packed(chosen).join(truth.where(keep).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("packed", "toxic")
+    # always the shuffled join: a small label table must not make a plan that larger ones don't have
+    truth = truth.where(keep).withColumnRenamed("doc_id", "_id").hint("merge")
+    return _packed(chosen).join(truth, F.col("doc_id") == F.col("_id")).select("packed", "toxic")
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
