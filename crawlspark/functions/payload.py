@@ -304,10 +304,7 @@ def next_page_variables(variables: Column, response: Column) -> Column:
     return let(_entries(variables), by_slot)
 
 
-def with_member(body: Column, key: Column, value: Column) -> Column:
-    """Object text with one string member replaced in place or added at the end."""
-    text = _json_string(value)
-
+def _with_json(body: Column, key: Column, text: Column) -> Column:
     def put(entries: Column) -> Column:
         added = F.array(F.struct(key.alias("key"), F.try_parse_json(text).alias("value")))
         grown = F.to_json(F.map_from_entries(F.concat(entries, added)))
@@ -316,6 +313,22 @@ def with_member(body: Column, key: Column, value: Column) -> Column:
     return let(_entries(body), put)
 
 
+def with_member(body: Column, key: Column, value: Column) -> Column:
+    """Object text with one string member replaced in place or added at the end."""
+    return _with_json(body, key, _json_string(value))
+
+
+def with_variable(body: Column, key: Column, value: Column) -> Column:
+    """GraphQL body with one string variable replaced or added; its other members stay.
+
+    A body without variables, or with an empty value in their place, gets an object of its own.
+    """
+    given = F.get_json_object(body, "$.variables")
+    empty = given.isNull() | given.isin("", "0", "false", "[]")
+    variables = F.when(empty, "{}").otherwise(given)
+    return _with_json(body, F.lit("variables"), with_member(variables, key, value))
+
+
 def by_priority(build: Callable[[str, str], Column], probes: Sequence[tuple[str, str]]) -> Column:
     """array<struct<priority, key, value, request>> of the probes, tried in order."""
     return F.array(

@@ -11,8 +11,10 @@ from crawlspark.functions import html as H
 from crawlspark.functions import payload as J
 from crawlspark.functions import predicates as P
 from crawlspark.functions import urls as U
+from crawlspark.operators import candidates as C
 from crawlspark.operators import evidence as E
 from crawlspark.operators import keyed as K
+from crawlspark.operators import links as L
 from crawlspark.operators import memory as ME
 from crawlspark.operators import verdicts as V
 from crawlspark.sources import readers
@@ -24,17 +26,60 @@ _PLAIN = "plain fetch"
 _LINK_TRIALS = [*V.HTML_TRIALS, *_URL_FILTERS, _PLAIN]
 
 
-def best_api(captures: DataFrame, key: str = "domain") -> DataFrame:
-    """The capture of each domain with the longest record list; the first wins a tie."""
-    seen = readers.exchanges(captures.where(~P.is_denied(F.col("url")) & (F.col("body") != "")))
+def named_endpoints(
+    pages: DataFrame,
+    captures: DataFrame,
+    probes: DataFrame,
+    key: str = "domain",
+    bundles: int = 12,
+    urls: int = 15,
+) -> DataFrame:
+    """Answers of the endpoints that a page or its script bundles name, as captures.
+
+    Bundles (probe kind ``bundle``) and endpoints (kind ``endpoint``) are found by their URL in
+    ``trial``. The first ``bundles`` scripts of a site are read and the ``urls`` endpoints with the
+    most marker words looked up, as the budget of one investigation allows; ``seq`` is their rank.
+    """
+    inline = L.endpoint_candidates(pages, [key]).withColumn("source_no", F.lit(0))
+    scripts = L.script_bundles(pages, captures, key, k=None)
+    scripts = K.top_k_per_key(scripts, [key], [F.col("source_no"), F.col("seq")], bundles, "bundle_no")
+    texts = probes.where(F.col("kind") == "bundle").select(F.col(key).alias("_key"), "trial", "body")
+    read = scripts.join(texts, scripts[key].eqNullSafe(texts["_key"]) & (F.col("bundle_url") == F.col("trial")))
+    read = K.attach(read.select(key, "bundle_no", "body"), pages.select(key, "url"), [key])
+    in_scripts = read.select(
+        key, F.col("bundle_no").alias("source_no"), F.posexplode(H.endpoint_literals(F.col("body"), F.col("url"))).alias("seq", "endpoint_url")
+    )
+    named = C.dedupe_first(inline.unionByName(in_scripts), [key], "endpoint_url", ["source_no", "seq"])
+    ranked = C.top_by_marker_hits(named, [key], urls, "endpoint_url", ["source_no", "seq"])
+    answers = probes.where((F.col("kind") == "endpoint") & (F.col("status") < 400)).select(
+        F.col(key).alias("_key"), "trial", "body"
+    )
+    found = ranked.join(answers, ranked[key].eqNullSafe(answers["_key"]) & (F.col("endpoint_url") == F.col("trial")))
+    return found.select(
+        key, F.col("rank").alias("seq"), F.col("endpoint_url").alias("url"), F.lit("GET").alias("method"),
+        F.lit(None).cast("string").alias("request_body"), "body",
+    )
+
+
+def best_api(captures: DataFrame, key: str = "domain", named: DataFrame | None = None) -> DataFrame:
+    """The capture of each domain with the longest record list; the first wins a tie.
+
+    ``named`` holds answers of endpoints that scripts name (``named_endpoints``); they count for
+    domains none of whose captures has a record list.
+    """
+    columns = [key, "seq", "url", "method", "request_body", "body"]
+    found = captures.select(*columns).withColumn("_tier", F.lit(0))
+    if named is not None:
+        found = found.unionByName(named.select(*columns).withColumn("_tier", F.lit(1)))
+    seen = readers.exchanges(found.where(~P.is_denied(F.col("url")) & (F.col("body") != "")))
     listed = seen.select(
-        key, "seq", "url", "method", "is_graphql", "json_body", "response_json",
+        key, "seq", "url", "method", "is_graphql", "json_body", "response_json", "_tier",
         J.record_list(F.col("response_json")).alias("items"),
     )
-    counted = listed.withColumn("n_items", F.size("items"))
+    counted = listed.withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
     # Filtering first would search every payload twice, in the filter and in the output.
-    best = K.first_per_key(counted, [key], [F.col("n_items").desc_nulls_last(), F.col("seq")])
-    return best.where(F.col("n_items") > 0)
+    order = [(F.col("n_items") > 0).desc(), F.col("_tier"), F.col("n_items").desc(), F.col("seq")]
+    return K.first_per_key(counted, [key], order).where(F.col("n_items") > 0).drop("_tier")
 
 
 def _items(df: DataFrame, key: str, items: Column, responded: Column) -> DataFrame:
@@ -163,11 +208,14 @@ def build(
 
     pages: key, url, status, html, interactions, content_type, pdf_text, from_render_service
     (one row per domain); plain_pages: key, html; captures: key, seq, url, method,
-    request_body, body; probes: key, kind (api or html), trial, status, body; store: learned
-    patterns. Every table is cut down to one row per domain before the final joins. The best
-    capture's payload does pass the rank shuffle and the join with its verdicts.
+    request_body, body; probes: key, kind (api, html, bundle or endpoint), trial, status, body;
+    store: learned patterns. An endpoint that only scripts name counts when its stored answer
+    holds records. Every table is cut down to one row per domain before the final joins. The best
+    capture's payload does pass the rank shuffle and the join with its verdicts. PDFs and sources
+    without job links or a GET API have no signature.
     """
-    api = api_verdicts(best_api(captures, key), pages, probes, store, key)
+    named = named_endpoints(pages, captures, probes, key)
+    api = api_verdicts(best_api(captures, key, named), pages, probes, store, key)
     links = link_verdicts(pages, plain_pages, probes, store, key)
     facts = pages.select(
         key,
@@ -183,8 +231,11 @@ def build(
     return evidence.select(
         key, "careers_url", "source_type", "pagination_status", "pagination_mechanism",
         "india_filter_mechanism", "requires_browser", "requires_firecrawl", "reported_total_count",
-        F.when(F.col("api_method").isNotNull(), F.col("signature")).otherwise(F.col("link_signature")).alias("signature"),
-        F.when(F.col("api_method").isNotNull(), F.col("api_pagination")["param"])
+        F.when(F.coalesce("is_pdf", F.lit(False)), None)
+        .when(F.col("api_method").isNotNull(), F.col("signature"))
+        .when(F.col("n_rendered") > 0, F.col("link_signature")).alias("signature"),
+        F.when(F.coalesce("is_pdf", F.lit(False)), None)
+        .when(F.col("api_method").isNotNull(), F.col("api_pagination")["param"])
         .when(F.col("source_type") == "ssr_html", F.col("html_pagination")["param"]).alias("pagination_param"),
         ME.platform_hint(U.authority(F.col("careers_url"))).alias("ats_hint"),
         "sufficient", "confidence",

@@ -172,22 +172,28 @@ def next_page_variables(spark, sf_dir):
     f"""SELECT o_orderkey AS seq, priority, CASE WHEN {_CLS} = 2 THEN
         regexp_replace('https://' || CASE WHEN o_orderstatus = 'P' THEN 'www.google-analytics.com' ELSE 'api.example.org' END
           || '/v1?page=1&o=' || o_orderkey || '&' || k || '=' || v, ' ', '')
-      WHEN k = 'region' THEN '{{"offset":' || o_orderkey || ',"region":"' || v || '"}}'
-      ELSE '{{"' || k || '":"' || v || '","offset":' || o_orderkey || '}}' END AS request
+      WHEN {_CLS} IN (1, 5) THEN '{{"query":"{{jobs{{id}}}}","variables":' || members || '}}' ELSE members END AS request
     FROM orders, (VALUES (0, 'country', 'IN', 'country', 'IN'), (1, 'location', 'India', 'country', 'India'),
       (2, 'country', 'India', 'location', 'India'), (3, NULL, NULL, 'countryCode', 'IN'), (4, NULL, NULL, 'region', 'India')) p(priority, uk, uv, bk, bv),
-      LATERAL (SELECT CASE WHEN {_CLS} = 2 THEN uk ELSE bk END AS k, CASE WHEN {_CLS} = 2 THEN uv ELSE bv END AS v)
+      LATERAL (SELECT CASE WHEN {_CLS} = 2 THEN uk ELSE bk END AS k, CASE WHEN {_CLS} = 2 THEN uv ELSE bv END AS v),
+      LATERAL (SELECT CASE WHEN k = 'region' THEN '{{"offset":' || o_orderkey || ',"region":"' || v || '"}}'
+        ELSE '{{"' || k || '":"' || v || '","offset":' || o_orderkey || '}}' END AS members)
     WHERE k IS NOT NULL""",
 )
 def filter_probes(spark, sf_dir):
-    """GET sources try URL parameters, the others members of a body."""
-    seen = captures(spark, sf_dir)
+    """GET sources try URL parameters, GraphQL sources variables, the others members of a body."""
+    seen = readers.exchanges(captures(spark, sf_dir))
     body = F.concat(F.lit('{"offset":'), F.col("seq").cast("string"), F.lit("}"))
+    graphql = F.concat(F.lit('{"query":"{jobs{id}}","variables":'), body, F.lit("}"))
     by_url = J.by_priority(lambda k, v: U.with_params(F.col("url"), {k: v}), M.URL_FILTER_PROBES)
     by_body = J.by_priority(
         lambda k, v: J.canonical(J.with_member(body, F.lit(k), F.lit(v))), M.BODY_FILTER_PROBES
     )
-    tried = seen.select("seq", F.inline(F.when(F.col("method") == "get", by_url).otherwise(by_body)))
+    by_variable = J.by_priority(
+        lambda k, v: J.canonical(J.with_variable(graphql, F.lit(k), F.lit(v))), M.BODY_FILTER_PROBES
+    )
+    by_post = F.when(F.col("is_graphql"), by_variable).otherwise(by_body)
+    tried = seen.select("seq", F.inline(F.when(F.col("method") == "GET", by_url).otherwise(by_post)))
     return tried.select("seq", F.col("priority").cast("long").alias("priority"), "request")
 
 

@@ -11,6 +11,7 @@ from crawlspark.plans.inputs import sql_any, table
 from crawlspark.plans.record_plan import validate_lines
 from crawlspark.plans.registry import query
 from crawlspark.schema import RECORD_FIELDS
+from crawlspark.session import shared_dir
 from crawlspark.sources import sinks
 
 _DAMAGE = M.MOJIBAKE[0]
@@ -126,15 +127,15 @@ def field_rates(spark, sf_dir):
     return rates.select("set_id", "row_count", *[F.round(f, 9).alias(f) for f in RECORD_FIELDS])
 
 
-@query(
-    "field_confidence",
-    f"""WITH {_SQL_RECORDS}, shared AS (SELECT * REPLACE (CASE WHEN job_id <> '' THEN title ELSE job_id END AS job_id) FROM records),
+_SQL_CONFIDENCE = f"""WITH {_SQL_RECORDS}, shared AS (SELECT * REPLACE (CASE WHEN job_id <> '' THEN title ELSE job_id END AS job_id) FROM records),
     rates AS (SELECT set_id, {', '.join(f'{_sql_rate(f)} AS r_{f}' for f in RECORD_FIELDS)} FROM shared GROUP BY set_id),
     last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id, record_key ORDER BY line_no DESC) AS rn FROM (
       SELECT *, CASE WHEN coalesce(job_id, '') <> '' THEN job_id ELSE '_row_' || line_no END AS record_key FROM shared)) WHERE rn = 1),
     longform AS ({' UNION ALL '.join(f"SELECT set_id, record_key, '{f}' AS field, CASE WHEN {f} IS NOT NULL THEN r_{f} ELSE 0.0 END AS confidence FROM last JOIN rates USING (set_id)" for f in RECORD_FIELDS)})
-    SELECT set_id, record_key, field, round(confidence, 9) AS confidence FROM longform""",
-)
+    SELECT set_id, record_key, field, round(confidence, 9) AS confidence FROM longform"""
+
+
+@query("field_confidence", _SQL_CONFIDENCE)
 def field_confidence(spark, sf_dir):
     # Names repeat within a brand, so as job ids they make later records replace earlier ones.
     records = part_records(spark, sf_dir).withColumn(
@@ -144,6 +145,14 @@ def field_confidence(spark, sf_dir):
     return out.withColumn("confidence", F.round("confidence", 9))
 
 
+@query("confidence_files", _SQL_CONFIDENCE)
+def confidence_files(spark, sf_dir):
+    """The confidence side files written and read back."""
+    confidence, path = field_confidence(spark, sf_dir), shared_dir(spark, "confidence")
+    sinks.write_confidence(confidence, path)
+    return spark.read.schema(confidence.schema).json(path)
+
+
 @query(
     "country_purity",
     f"""WITH {_SQL_RECORDS} SELECT set_id, coalesce(array_to_string(list_sort(list_distinct(list(country_code) FILTER (country_code IS NOT NULL))), ','), '') AS codes,

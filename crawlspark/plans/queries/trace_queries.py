@@ -52,19 +52,27 @@ def trace_events(spark, sf_dir):
     )
 
 
-@query(
-    "trace_cost",
-    f"""WITH {_SQL_TRACE} SELECT domain, run_id, CASE WHEN bool_or(passed) THEN 'success' ELSE 'failed' END AS status,
+_SQL_COST = f"""WITH {_SQL_TRACE} SELECT domain, run_id, CASE WHEN bool_or(passed) THEN 'success' ELSE 'failed' END AS status,
       count(*) FILTER (type = 'repair_decision') AS repair_attempts,
       least(count(*) FILTER (type = 'repair_decision' OR (type = 'evidence' AND NOT sufficient)), 8) AS total_attempts_used,
       CAST(sum(coalesce(tokens_prompt, 0)) AS BIGINT) AS tokens_prompt, CAST(sum(coalesce(tokens_completion, 0)) AS BIGINT) AS tokens_completion,
       CAST(sum(coalesce(greatest(1000 - credits_after, 0), 0)) AS BIGINT) AS credits_used
-    FROM trace GROUP BY domain, run_id""",
-)
+    FROM trace GROUP BY domain, run_id"""
+
+
+@query("trace_cost", _SQL_COST)
 def trace_cost(spark, sf_dir):
     return TR.cost_report(trace_events(spark, sf_dir))
 
 
+@query("cost_report_files", _SQL_COST)
+def cost_report_files(spark, sf_dir):
+    """Cost reports written and read back."""
+    reports, path = trace_cost(spark, sf_dir), shared_dir(spark, "cost")
+    sinks.write_cost_reports(reports, path)
+    return spark.read.schema(reports.schema).json(path)
+
+
 @query(
     "credit_delta",
     f"""WITH {_SQL_TRACE} SELECT run_id, count(*) AS calls, count(credits_after) AS measured_calls,
