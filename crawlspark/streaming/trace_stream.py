@@ -125,19 +125,34 @@ def check_record_sets(
     checkpoint: str,
     keys: list[str],
     required: Sequence[str] = M.REQUIRED_FIELDS,
+    buckets: int = 64,
 ):
-    """Validate every arriving batch of record lines with the batch operators.
+    """Validate arriving record lines with the batch operators; a set may spread over micro-batches.
 
-    A set must arrive within one micro-batch, as one finished file does.
+    Every batch keeps its lines below ``path/lines``, in folders by hash of the set, and restates
+    the verdict of the sets it brought lines of from all their lines so far, below
+    ``path/reports``: ``latest`` gives the standing verdicts. A replayed batch replaces its own
+    folders, so nothing counts twice. Blank and bad lines count as in ``validate_lines``.
     """
+    columns = [*keys, "line_no", "line"]
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        report = validate_lines(batch, keys, required=required)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        kept = batch.select(*columns, bucket.alias("bucket")).hint("rebalance", "bucket")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lines/batch={batch_id}")
+        schema = batch.select(*columns).schema.add("batch", "long").add("bucket", "integer")
+        log = spark.read.schema(schema).parquet(f"{path}/lines").where(F.col("batch") <= batch_id)
+        touched = log.where(F.col("batch") == batch_id).select("bucket", *keys).distinct()
+        touched = touched.select(*[F.col(c).alias(f"_{c}") for c in touched.columns])
+        same = log["bucket"] == touched["_bucket"]
+        for k in keys:
+            same = same & log[k].eqNullSafe(touched[f"_{k}"])
+        report = validate_lines(log.join(touched, same, "left_semi").select(*columns), keys, required=required)
         report.select(
-            *keys, "passed", F.col("row_count").cast("long").alias("row_count"), "failure_category", "details"
-        ).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch={batch_id}")
+            *keys, "passed", F.col("row_count").cast("long").alias("row_count"), "failure_category", "details",
+            F.lit(batch_id).cast("long").alias("batch_id"),
+        ).write.mode("overwrite").parquet(f"{path}/reports/batch={batch_id}")
 
     return (
         lines.writeStream.option("checkpointLocation", checkpoint)

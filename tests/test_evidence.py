@@ -213,3 +213,26 @@ def test_nothing_found_and_pdf(spark):
     assert (e.source_type, e.pagination_status, e.india_filter_mechanism) == ("spa_no_api", "unknown", "client_side_fallback")
     e = evidence_of(spark, "", content_type="Application/PDF")
     assert (e.source_type, e.pagination_mechanism, e.sufficient) == ("ssr_html", "single_page", True)
+
+
+def test_endpoints_named_in_scripts(spark):
+    jobs = '{"jobs":[{"id":1,"title":"a"},{"id":2,"title":"b"}]}'
+    script = '<script>get("/v2/jobs"); get("/v2/jobs?search=1")</script>'
+    one, two = "https://acme.com/v2/jobs", "https://acme.com/v2/jobs?search=1"
+    e = evidence_of(spark, script, probes=[("endpoint", one, 200, jobs), ("endpoint", two, 200, '{"x":1}')])
+    assert (e.source_type, e.signature is not None) == ("rest_api", True)
+    e = evidence_of(spark, script, probes=[("endpoint", one, 500, jobs), ("endpoint", "https://acme.com/other", 200, jobs)])
+    assert e.source_type == "spa_no_api"
+
+    bundle = '<script src="/app.js"></script>'
+    text = ("bundle", "https://acme.com/app.js", 200, "let u = '/v2/jobs'")
+    assert evidence_of(spark, bundle, probes=[text, ("endpoint", one, 200, jobs)]).source_type == "rest_api"
+    # a captured list comes first, however short
+    captures = [(1, "https://x.com/api", "POST", "{}", '{"n":[{"title":"one"}]}')]
+    e = evidence_of(spark, bundle, captures=captures, probes=[text, ("endpoint", one, 200, jobs)])
+    assert (e.source_type, e.signature) == ("rest_api", None)
+
+
+def test_pdf_has_no_signature(spark):
+    assert evidence_of(spark, LINKS, plain=LINKS, content_type="application/pdf").signature is None
+    assert evidence_of(spark, LINKS, plain=LINKS).signature is not None

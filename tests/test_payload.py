@@ -94,6 +94,14 @@ def test_with_member(value):
     assert json.loads(value(J.with_member(L('{"country":1,"b":2}'), L("country"), L("IN")))) == {"country": "IN", "b": 2}
 
 
+def test_with_variable(value):
+    run = lambda body: json.loads(value(J.with_variable(L(body), L("country"), L("IN"))))
+    assert run('{"query":"q","variables":{"page":1}}') == {"query": "q", "variables": {"page": 1, "country": "IN"}}
+    assert run('{"query":"q","variables":{"country":"x"}}') == {"query": "q", "variables": {"country": "IN"}}
+    for empty in ('{"query":"q"}', '{"query":"q","variables":null}', '{"query":"q","variables":[]}'):
+        assert run(empty) == {"query": "q", "variables": {"country": "IN"}}
+
+
 def test_whole_text_json(value):
     good = ["{}", " [1] ", '"x"', "1", "null"]
     bad = ["", "{} x", "[1] [2]", "1,2", "{", '{"a":1}}', "[1]]"]

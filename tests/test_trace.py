@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from crawlspark.operators import evidence as E
 from crawlspark.operators import keyed as K
 from crawlspark.operators import trace as TR
+from crawlspark.plans.record_plan import validate_lines
 from crawlspark.sources import readers, sinks
 from crawlspark.streaming import trace_stream as TS
 
@@ -113,3 +114,19 @@ def test_live_attempts_match_batch_when_events_arrive_out_of_order(spark, tmp_pa
     want = E.attempt_budget(batch, ["run_id"], [F.col("attempt")], F.lit(0), 3)
     columns = ["run_id", "attempt", "stagnant", "attempts_left", "exhausted"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_record_sets_over_several_batches_equal_the_batch_report(spark, tmp_path):
+    good = '{"title":"a","job_id":"1"}'
+    rows = [(1, 1, good), (1, 2, good), (2, 1, good), (2, 2, "broken"), (None, 1, good), (1, 3, '{"title":"b"}'), (2, 3, good), (None, 2, "[")]
+    lines = spark.createDataFrame(rows, "set_id long, line_no long, line string")
+    for n in (1, 2, 3):
+        lines.where(F.col("line_no") == n).coalesce(1).write.json(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    TS.check_record_sets(stream.json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ["set_id"], ("title",)).awaitTermination()
+    schema = "set_id long, passed boolean, row_count long, failure_category string, details string, batch_id long"
+    got = TS.latest(spark, str(tmp_path / "out" / "reports"), schema, ["set_id"])
+    want = validate_lines(lines, ["set_id"], required=("title",))
+    columns = ["set_id", "passed", "row_count", "failure_category", "details"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert spark.read.parquet(str(tmp_path / "out" / "reports")).select("batch_id").distinct().count() == 3
