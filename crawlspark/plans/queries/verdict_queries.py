@@ -213,7 +213,7 @@ def page_walk_empty(spark, sf_dir):
 
 @query(
     "page_walk_links",
-    f"""WITH walk AS (SELECT o_custkey AS source_id, {_PAGE} AS page_no, month(o_orderdate) AS item FROM orders WHERE {_PAGE} <= 4),
+    f"""WITH walk AS (SELECT o_custkey AS source_id, {_PAGE} AS page_no, month(o_orderdate) AS item FROM orders),
     marked AS (SELECT *, page_no = min(page_no) OVER (PARTITION BY source_id, item) AS is_new FROM walk),
     stops AS (SELECT source_id, min(page_no) AS stop FROM (SELECT source_id, page_no, bool_or(is_new) AS adds FROM marked GROUP BY 1, 2)
       WHERE NOT adds GROUP BY 1)
@@ -222,4 +222,4 @@ def page_walk_empty(spark, sf_dir):
 )
 def page_walk_links(spark, sf_dir):
     pages = _order_pages(spark, sf_dir, F.month("o_orderdate").cast("long"))
-    return _walked(V.walk_until_known(pages, ["source_id"], "page_no", "item", 4))
+    return _walked(V.walk_until_known(pages, ["source_id"], "page_no", "item"))
