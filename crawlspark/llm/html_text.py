@@ -5,11 +5,13 @@ space; its ratio is its characters over the tags met in it. Ratios are smoothed
 lines above a threshold (a share of their standard deviation) form clusters. The cluster region is the
 container that holds most of the clusters' text: an article or main element if there is one,
 else the body. Ratios alone would lose headlines and short last paragraphs and take long footers, so
-elements that are never content (menus, headers, footers, forms, scripts, and blocks whose class or id
-says advert, notice, sidebar, comments) are left out by name, and within an article element every
-other line of a content region stays.
+elements that are never content (menus, headers, footers, scripts) are left out by name, and within an
+article element every other line of a content region stays. Forms, and blocks whose class or id says
+advert, notice, sidebar, comments, are only candidates: one that holds an article, a main, an h1 or a
+cluster of its own stays.
 """
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -22,41 +24,65 @@ from pyspark.sql import DataFrame, functions as F
 SMOOTHING = 2.0  # standard deviation in lines
 THRESHOLD = 0.5  # in standard deviations of the smoothed ratios
 
-_SKIPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math select button textarea head title dialog menu canvas audio video".split())
+_SKIPPED = frozenset("nav header footer aside script style noscript template iframe object svg math select button textarea head title dialog menu canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset(
-    "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre "
+    "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre "
     "search section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES_P = _BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _REGIONS = ("article", "main")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|sidebar|side-?bar|menu|nav\w*|breadcrumbs?|"
-    r"footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|signup)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|side-?bar|menu|"
+    r"nav(?:s|bar|igation|menu|list|links?|items?)?|breadcrumbs?|footer|comments?|respond|replies|disqus|share|sharing|"
+    r"social(?=$|[_-](?:share|sharing|links?|icons?|media|buttons?|bar|networks?|follow|feed|list))|"
+    r"related(?=$|[_-](?:posts?|articles?|stories|content|links?|news|items?|topics?|reading|products?|videos?|list))|"
+    r"recommend\w*|widget|pagination|pager|login|signup)(?:$|[_-])",
     re.I,
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+_ABOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)$|(?:^|[_-])(?:has|with|without|no)[_-]", re.I)  # the name says what is beside or absent
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _SPACE = re.compile(r"\s+")
 
 
+@functools.lru_cache(4096)
+def _noise(names: str, headers: bool) -> bool:
+    """Whether a class or id names something that is seldom content; ``headers`` as well, outside regions."""
+    for name in names.split():
+        for pattern in (_NOISE, _HEADER)[: 1 + headers]:
+            if (found := pattern.search(name)) and not _ABOUT.search(name[: found.start()]):
+                return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, region) with region the innermost article or main element, 0 for none."""
+    """Lines of a page: (parts, tags, region) with region the innermost article or main element, 0 for none.
+
+    A part is (text, candidate) with candidate the innermost element around it that may be no content, 0 for none.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, region
+        self.lines: list[tuple[list[tuple[str, int]], int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, region, candidate
+        self.outer = [0]  # of each candidate, the candidate around it
+        self.stays = [True]  # it holds an article, a main or an h1
         self.left_out = self.regions = self.tags = 0
-        self.held: list[str] = []
+        self.held: list[tuple[str, int]] = []
 
     @property
     def region(self) -> int:
         return self.open[-1][2] if self.open else 0
 
+    @property
+    def candidate(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
     def end_line(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.held)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.region))
+        if any(not text.isspace() for text, _ in self.held):
+            self.lines.append((self.held, self.tags, self.region))
         self.held, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -67,17 +93,27 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             if tag == "br":
-                self.held.append(" ")
+                self.held.append((" ", self.candidate))
             return
         named = dict(attrs)
-        words = f"{named.get('class') or ''} {named.get('id') or ''}"
-        out = tag in _SKIPPED and not (tag == "header" and self.region and not self.left_out) or "hidden" in named or (named.get("role") or "").lower() in _ROLES
-        out = out or tag not in ("html", "body", *_REGIONS) and bool(_NOISE.search(words))
-        region = self.region
+        role = (named.get("role") or "").lower()
+        out = tag in _SKIPPED and not (tag == "header" and self.region and not self.left_out) or "hidden" in named or role in _ROLES
+        region, candidate = self.region, self.candidate
+        if not self.left_out and not out:
+            names = f"{named.get('class') or ''} {(tag not in _HEADINGS and named.get('id')) or ''}"  # a heading's id is its words
+            if tag == "form" or role == "form" or tag not in ("html", "body", *_REGIONS) and _noise(names, not region):
+                self.outer.append(candidate)
+                self.stays.append(False)
+                candidate = len(self.outer) - 1
+            if tag == "h1" or tag in _REGIONS:
+                around = candidate
+                while not self.stays[around]:
+                    self.stays[around] = True
+                    around = self.outer[around]
         if tag in _REGIONS and not self.left_out:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, out, region))
+        self.open.append((tag, out, region, candidate))
         self.left_out += out
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -96,7 +132,7 @@ class _Lines(HTMLParser):
         return None
 
     def drop_from(self, k: int) -> None:
-        self.left_out -= sum(out for _, out, _ in self.open[k:])
+        self.left_out -= sum(x[1] for x in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -110,7 +146,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.left_out:
-            self.held.append(data)
+            self.held.append((data, self.candidate))
 
 
 def _smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -120,13 +156,50 @@ def _smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel, "full")[reach : reach + len(ratios)]
 
 
+def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int]]:
+    """(text, tags, region) of the lines, without candidates that hold no article, main, h1 or cluster.
+
+    A candidate's cluster is judged by its own text: ratios of its lines, all other lines as zero,
+    smoothed, reach half the page's mean ratio somewhere.
+    """
+    stays, outer = parser.stays, parser.outer
+    if not all(stays):
+        sizes = [[len(_SPACE.sub(" ", text).strip()) for text, _ in parts] for parts, _, _ in parser.lines]
+        tags = np.array([max(1, tags) for _, tags, _ in parser.lines])
+        least = (np.array([sum(n) for n in sizes]) / tags).mean() / 2 if sizes else 0.0
+        own: dict[int, dict[int, int]] = {}
+        for k, (parts, _, _) in enumerate(parser.lines):
+            for (_, candidate), n in zip(parts, sizes[k], strict=True):
+                while candidate:
+                    if not stays[candidate]:
+                        held = own.setdefault(candidate, {})
+                        held[k] = held.get(k, 0) + n
+                    candidate = outer[candidate]
+        reach = math.ceil(3 * sigma)
+        for candidate, held in own.items():
+            first, last = max(0, min(held) - reach), min(len(tags), max(held) + reach + 1)
+            ratios = np.zeros(last - first)
+            for k, n in held.items():
+                ratios[k - first] = n / tags[k]
+            stays[candidate] = bool(_smoothed(ratios, sigma).max() >= least)
+    gone = [False] * len(stays)
+    for candidate in range(1, len(stays)):
+        gone[candidate] = not stays[candidate] or gone[outer[candidate]]
+    lines = []
+    for parts, tags, region in parser.lines:
+        text = _SPACE.sub(" ", "".join(text for text, candidate in parts if not gone[candidate])).strip()
+        if text:
+            lines.append((text, tags, region))
+    return lines
+
+
 def main_text(html: str | None, sigma: float = SMOOTHING, threshold: float = THRESHOLD) -> str:
     """Content lines joined by line feeds; empty if there are none."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = _without_noise(parser, sigma)
     if not lines:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])

@@ -74,6 +74,32 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "long words of running text " * 6
+PARAGRAPH = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        ("<div class='layout has-sidebar'><article><p>the body</p></article></div>", ["the body"], []),
+        ("<div class='sidebar'><main><p>the body</p></main></div>", ["the body"], []),
+        ("<div class='content-with-sidebar'><p>the body</p></div><div class='no-sidebar'><p>more</p></div>", ["the body", "more"], []),
+        ("<div class=header><h1>Head</h1></div>" + PARAGRAPH * 3, ["Head", LONG.strip()], []),
+        ("<form id=aspnetForm><article>" + PARAGRAPH * 3 + "</article></form>", [LONG.strip()], []),
+        ("<form>" + PARAGRAPH * 4 + "</form>", [LONG.strip()], []),
+        ("<article><header class='entry-header'><h2>Head</h2></header><div class='article-header'>By X</div>" + PARAGRAPH + "</article>", ["Head", "By X"], []),
+        ("<article>" + PARAGRAPH * 3 + "<section class='social-science'><p>S.</p></section><section class='related-work'><p>R.</p></section><p class=navy>N.</p></article>", ["S.", "R.", "N."], []),
+        ("<article>" + PARAGRAPH * 3 + "<section class=notice><p>first</p>" + PARAGRAPH * 3 + "</section></article>", ["first"], []),
+        ("<article>" + PARAGRAPH * 3 + "<p>one <span class=share>Tweet</span> two</p><form><label>Mail</label></form></article>", ["one two"], ["Tweet", "Mail"]),
+        ("<article>" + PARAGRAPH * 3 + "<div class=comments>" + "<div><b>x</b><i>2020</i><p>nice post</p></div>" * 9 + "</div></article>", [], ["nice post", "2020"]),
+        ("<div class='site-header'>Site</div><article><p>the body</p></article>", ["the body"], ["Site"]),
+    ],
+)
+def test_names_alone_drop_no_content(html, kept, gone):
+    lines = html_text.main_text(html).split("\n")
+    assert set(kept) <= set(lines) and not any(word in line for word in gone for line in lines)
+
+
 def test_clusters_without_an_article():
     body = "".join(f"<p>{'long words of running text ' * 6}{k}</p>" for k in range(6))
     links = "".join(f"<li><a href=/{k}>x{k}</a></li>" for k in range(30))
