@@ -2,13 +2,13 @@
 
 The standard library's parser streams events. A line is the text of one block, white space as one
 space; its ratio is its characters over the tags met in it. Ratios are smoothed along the page, and
-lines above a threshold (a share of their standard deviation) form clusters. The cluster region is the
-container that holds most of the clusters' text: an article or main element if there is one,
-else the body. Ratios alone would lose headlines and short last paragraphs and take long footers, so
+lines above a threshold (a share of their standard deviation) form clusters. The cluster regions are
+the outermost article and main elements, whole, or the body if there are none. Ratios alone would lose headlines and short last paragraphs and take long footers, so
 elements that are never content (menus, headers, footers, scripts) are left out by name, and within an
-article element every other line of a content region stays. Forms, and blocks whose class or id says
+article element every other line stays. Forms, and blocks whose class or id says
 advert, notice, sidebar, comments, are only candidates: one that holds an article, a main, an h1 or a
-cluster of its own stays.
+cluster of its own stays. A region goes only if it has no cluster of its own and is mostly links or
+stands in a candidate.
 """
 
 import functools
@@ -58,19 +58,20 @@ def _noise(names: str, headers: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (parts, tags, region) with region the innermost article or main element, 0 for none.
+    """Lines of a page: (parts, tags, region) with region the outermost article or main element, 0 for none.
 
-    A part is (text, candidate) with candidate the innermost element around it that may be no content, 0 for none.
+    A part is (text, candidate, linked) with candidate the innermost element around it that may be no content, 0 for none.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, int]], int, int]] = []
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []
         self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, region, candidate
         self.outer = [0]  # of each candidate, the candidate around it
         self.stays = [True]  # it holds an article, a main or an h1
-        self.left_out = self.regions = self.tags = 0
-        self.held: list[tuple[str, int]] = []
+        self.named = [False]  # of each region, whether it stands in a candidate
+        self.left_out = self.linked = self.tags = 0
+        self.held: list[tuple[str, int, bool]] = []
 
     @property
     def region(self) -> int:
@@ -81,7 +82,7 @@ class _Lines(HTMLParser):
         return self.open[-1][3] if self.open else 0
 
     def end_line(self) -> None:
-        if any(not text.isspace() for text, _ in self.held):
+        if any(not text.isspace() for text, *_ in self.held):
             self.lines.append((self.held, self.tags, self.region))
         self.held, self.tags = [], 0
 
@@ -93,7 +94,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             if tag == "br":
-                self.held.append((" ", self.candidate))
+                self.held.append((" ", self.candidate, self.linked > 0))
             return
         named = dict(attrs)
         role = (named.get("role") or "").lower()
@@ -110,11 +111,12 @@ class _Lines(HTMLParser):
                 while not self.stays[around]:
                     self.stays[around] = True
                     around = self.outer[around]
-        if tag in _REGIONS and not self.left_out:
-            self.regions += 1
-            region = self.regions
+        if tag in _REGIONS and not region and not self.left_out:
+            self.named.append(candidate > 0)
+            region = len(self.named) - 1
         self.open.append((tag, out, region, candidate))
         self.left_out += out
+        self.linked += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,6 +135,7 @@ class _Lines(HTMLParser):
 
     def drop_from(self, k: int) -> None:
         self.left_out -= sum(x[1] for x in self.open[k:])
+        self.linked -= sum(x[0] == "a" for x in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -146,7 +149,7 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.left_out:
-            self.held.append((data, self.candidate))
+            self.held.append((data, self.candidate, self.linked > 0))
 
 
 def _smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -156,20 +159,20 @@ def _smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel, "full")[reach : reach + len(ratios)]
 
 
-def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int]]:
-    """(text, tags, region) of the lines, without candidates that hold no article, main, h1 or cluster.
+def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int, int]]:
+    """(text, tags, region, length of link texts) of the lines, without candidates that hold no article, main, h1 or cluster.
 
     A candidate's cluster is judged by its own text: ratios of its lines, all other lines as zero,
     smoothed, reach half the page's mean ratio somewhere.
     """
     stays, outer = parser.stays, parser.outer
     if not all(stays):
-        sizes = [[len(_SPACE.sub(" ", text).strip()) for text, _ in parts] for parts, _, _ in parser.lines]
+        sizes = [[len(_SPACE.sub(" ", text).strip()) for text, *_ in parts] for parts, _, _ in parser.lines]
         tags = np.array([max(1, tags) for _, tags, _ in parser.lines])
         least = (np.array([sum(n) for n in sizes]) / tags).mean() / 2 if sizes else 0.0
         own: dict[int, dict[int, int]] = {}
         for k, (parts, _, _) in enumerate(parser.lines):
-            for (_, candidate), n in zip(parts, sizes[k], strict=True):
+            for (_, candidate, _), n in zip(parts, sizes[k], strict=True):
                 while candidate:
                     if not stays[candidate]:
                         held = own.setdefault(candidate, {})
@@ -187,9 +190,10 @@ def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int]]:
         gone[candidate] = not stays[candidate] or gone[outer[candidate]]
     lines = []
     for parts, tags, region in parser.lines:
-        text = _SPACE.sub(" ", "".join(text for text, candidate in parts if not gone[candidate])).strip()
+        kept = [(text, linked) for text, candidate, linked in parts if not gone[candidate]]
+        text = _SPACE.sub(" ", "".join(text for text, _ in kept)).strip()
         if text:
-            lines.append((text, tags, region))
+            lines.append((text, tags, region, sum(len(text.strip()) for text, linked in kept if linked)))
     return lines
 
 
@@ -202,20 +206,23 @@ def main_text(html: str | None, sigma: float = SMOOTHING, threshold: float = THR
     lines = _without_noise(parser, sigma)
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
+    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     smooth = _smoothed(ratios, sigma)
-    content = smooth >= threshold * smooth.std()
-    weight: dict[int, int] = {}
-    for (text, _, region), inside in zip(lines, content, strict=True):
-        if region and inside:
-            weight[region] = weight.get(region, 0) + len(text)
-    if weight:  # regions that hold a fair part of the clustered text, whole
-        most = max(weight.values())
-        kept = {r for r, n in weight.items() if 4 * n >= most}
-        return "\n".join(text for text, _, region in lines if region in kept)
-    if any(region for *_, region in lines):
-        return "\n".join(text for text, _, region in lines if region)
-    return "\n".join(text for (text, _, _), inside in zip(lines, content, strict=True) if inside)
+    least = threshold * smooth.std()
+    places: dict[int, list[int]] = {}
+    for k, (_, _, region, _) in enumerate(lines):
+        if region:
+            places.setdefault(region, []).append(k)
+    if not places:
+        return "\n".join(line[0] for line, inside in zip(lines, smooth >= least, strict=True) if inside)
+    kept = set(places)
+    if len(places) > 1:
+        kept = {r for r, at in places.items() if _smoothed(ratios[at], sigma).max() >= least or not (parser.named[r] or _mostly_links([lines[k] for k in at]))} or kept
+    return "\n".join(text for text, _, region, _ in lines if region in kept)
+
+
+def _mostly_links(lines: list[tuple[str, int, int, int]]) -> bool:
+    return 2 * sum(linked for *_, linked in lines) > sum(len(text) for text, *_ in lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -100,6 +100,21 @@ def test_names_alone_drop_no_content(html, kept, gone):
     assert set(kept) <= set(lines) and not any(word in line for word in gone for line in lines)
 
 
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        ("<main><h1>Title</h1><p>lead</p><article>" + PARAGRAPH * 20 + "</article><p>end</p></main>", ["Title", "lead", "end"], []),
+        ("<article>" + PARAGRAPH * 20 + "<article><p>section</p></article></article>", ["section"], []),
+        ("<article>" + PARAGRAPH * 20 + "</article>" + "".join(f"<article><b>10:0{k}</b><p>Goal {k}</p></article>" for k in range(9)), ["10:00", "Goal 0", "Goal 8"], []),
+        ("<article>" + PARAGRAPH * 20 + "</article>" + "<article><a href=/x><h3>Next story</h3></a></article>" * 9, [LONG.strip()], ["Next story"]),
+        ("<main><article><h1>T</h1></article></main><div>" + PARAGRAPH * 20 + "</div>", ["T"], []),
+    ],
+)
+def test_regions_stay_whole(html, kept, gone):
+    lines = html_text.main_text(html).split("\n")
+    assert set(kept) <= set(lines) and not any(word in line for word in gone for line in lines)
+
+
 def test_clusters_without_an_article():
     body = "".join(f"<p>{'long words of running text ' * 6}{k}</p>" for k in range(6))
     links = "".join(f"<li><a href=/{k}>x{k}</a></li>" for k in range(30))
