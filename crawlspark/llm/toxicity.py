@@ -8,12 +8,13 @@ highest order and backs off to counts that both share,
 
 where P, for the shorter histories h' down to single letters, is the Kneser-Ney continuation
 probability over both classes together: in how many different settings a run occurs, not how often.
-A run that neither class has seen says nothing, a rare one says little. A document's value is
+A run that no labelled text holds is scored by the two backoff weights of its history,
+``D * types_c(h) / n_c(h)``; only a history that is new too says nothing. A document's value is
 the difference of its two log-likelihoods per word; a logistic curve over value and length,
 fitted on a fold of its own, turns it into a score.
 
 Counting is a Spark aggregation over all labelled training texts: words, then runs, then the
-backoff levels by joins. What tasks get is a table of ``CELLS`` cells whatever the input. Only
+backoff levels by joins. What tasks get are all runs and histories, twelve bytes each. Only
 labels and packed texts meet in the label join; scoring reads each text once and shuffles nothing.
 """
 
@@ -33,7 +34,6 @@ from crawlspark.llm.scratch import Scratch
 
 ORDER = 5
 DISCOUNT = 0.75
-CELLS = 1 << 21
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 1
@@ -56,18 +56,22 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Log-likelihood differences of letter runs by cell, and the curve.
+    """Log-likelihood differences of letter runs and of histories, in the order of their hashes, and the curve."""
 
-    A cell keeps the run of the largest weight that falls into it, known by sixteen more bits of
-    its hash; other runs of the cell count as unseen.
-    """
-
-    tag: np.ndarray
+    key: np.ndarray
     delta: np.ndarray
     slope: float = 1.0
     by_length: float = 0.0
     shift: float = -2.0
 
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differences, 0 for those that are not there, and which are."""
+        if not len(self.key):
+            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        there = self.key[at] == keys
+        return np.where(there, self.delta[at], np.float32(0)), there
+
     def score(self, value: np.ndarray, words: np.ndarray) -> np.ndarray:
         x = (self.slope + self.by_length * np.log1p(words)) * value + self.shift
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -80,23 +84,33 @@ class Scorer(dict):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def learn(self, words: list[str]) -> None:
         if len(self) >= 200_000:
             self.clear()
-        padded = "^" * (ORDER - 1) + word + "$"
-        total = 0.0
-        for k in range(len(word) + 1):
-            h = xxhash.xxh64_intdigest(padded[k : k + ORDER].encode("utf-8", "replace"), _SEED)
-            cell = h % CELLS
-            if self.model.tag[cell] == h >> 48:
-                total += float(self.model.delta[cell])
-        self[word] = total
-        return total
+        words = [w for w in dict.fromkeys(words) if w not in self]
+        if not words:
+            return
+        runs, starts = [], []
+        for word in words:
+            padded = "^" * (ORDER - 1) + word + "$"
+            starts.append(len(runs))
+            runs += [padded[k : k + ORDER] for k in range(len(word) + 1)]
+        delta, there = self.model.found(_hashes(runs))
+        new = np.flatnonzero(~there)
+        delta[new] = self.model.found(_hashes([runs[k][:-1] for k in new]))[0]
+        self.update(zip(words, np.add.reduceat(delta.astype(float), starts).tolist(), strict=True))
 
     def value(self, text: str | None) -> tuple[float, int]:
         """Difference per word, and the number of words."""
         words = words_of(text)
-        return (sum(map(self.__getitem__, words)) / len(words), len(words)) if words else (0.0, 0)
+        if not words:
+            return 0.0, 0
+        self.learn(words)
+        return sum(map(self.__getitem__, words)) / len(words), len(words)
+
+
+def _hashes(runs: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(r.encode("utf-8", "replace"), _SEED) for r in runs), np.uint64, len(runs))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -174,22 +188,31 @@ def differences(runs: DataFrame) -> DataFrame:
     return top.select(F.col("full").alias("run"), (F.col("n0") + F.col("n1")).alias("n"), F.log(p_of(1) / p_of(0)).alias("delta"))
 
 
+def unseen(runs: DataFrame) -> DataFrame:
+    """(run, delta): the difference of any other run, by its history (the run without its last letter): that of the backoff weights."""
+    of = {f"s{c}": F.sum(f"n{c}") for c in (0, 1)} | {f"t{c}": F.count(F.when(F.col(f"n{c}") > 0, 1)) for c in (0, 1)}
+    histories = runs.groupBy(F.substring("run", 1, ORDER - 1).alias("run")).agg(*(v.alias(k) for k, v in of.items()))
+    weight = [F.when(F.col(f"s{c}") > 0, DISCOUNT * F.col(f"t{c}") / F.col(f"s{c}")).otherwise(F.lit(1.0)) for c in (0, 1)]
+    return histories.select("run", F.log(weight[1] / weight[0]).alias("delta"))
+
+
+def model_of(runs: DataFrame) -> Model:
+    """All runs and histories, without a curve."""
+    told = differences(runs).select("run", "delta").unionAll(unseen(runs))
+    said = F.when(F.abs("delta") >= EVIDENCE, F.col("delta")).otherwise(0.0)  # a run that says nothing is not an unseen one
+    table = told.select(F.xxhash64("run").alias("h"), said.cast("float").alias("delta")).toArrow()
+    key, delta = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(key)
+    return Model(key[order], delta[order])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Model of all labelled texts outside the held-out fold; one fold of them only calibrates the curve."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     counting = ~fold(F.col("doc_id")).isin(HELD_OUT, CALIBRATION)
     runs = scratch.table("runs", letter_runs(word_counts(_labelled(docs, labels, label, counting))))
-    told = differences(runs).where(F.abs("delta") >= EVIDENCE).withColumn("h", F.xxhash64("run"))
-    cell = F.col("h").bitwiseAND(CELLS - 1).cast("int").alias("cell")
-    tag = F.shiftrightunsigned("h", 48).cast("int").alias("tag")
-    weight = F.struct(F.abs("delta") * F.log1p("n"), "h", tag, F.col("delta").cast("float").alias("delta"))
-    kept = told.groupBy(cell).agg(F.max(weight).alias("w")).select("cell", "w.tag", "w.delta")
-    table = kept.toArrow()  # a row for each cell at most
+    model = model_of(runs)
     scratch.drop("runs")
-    model = Model(np.zeros(CELLS, np.uint16), np.zeros(CELLS, np.float32))
-    at = table.column(0).to_numpy()
-    model.tag[at] = table.column(1).to_numpy()
-    model.delta[at] = table.column(2).to_numpy()
     model.slope, model.by_length, model.shift = _calibrate(model, docs, labels, label)
     return model
 

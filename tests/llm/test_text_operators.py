@@ -233,6 +233,38 @@ def test_backoff_probabilities_sum_to_one(spark):
     assert delta["^^^^c"] > 0 > delta["^^^ab"] and all(np.isfinite(list(delta.values())))
 
 
+def test_scores_equal_plain_kneser_ney_and_unseen_runs_back_off(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EVIDENCE", 0.0)
+    words = spark.createDataFrame([("abba", 5, 1), ("abc", 2, 0), ("cab", 0, 3), ("b", 1, 1), ("abbc", 0, 2), ("語語文", 0, 1)], "word string, n0 long, n1 long")
+    counts = {r.run: (r.n0, r.n1) for r in toxicity.letter_runs(words).collect()}
+
+    def shared(run):
+        longer = set(counts)
+        for _ in range(5 - len(run)):
+            longer = {r[1:] for r in longer} if len(next(iter(longer))) > len(run) + 1 else longer
+        k = Counter(r[1:] for r in longer)
+        if len(run) == 1:
+            return k[run] / sum(k.values())
+        s, t = (f(n for r, n in k.items() if r[:-1] == run[:-1]) for f in (sum, lambda x: len(list(x))))
+        return max(k[run] - 0.75, 0) / s + 0.75 * t / s * shared(run[1:])
+
+    def plain(run):
+        same = [r for r in counts if r[:-1] == run[:-1]]
+        logs = []
+        for c in (0, 1):
+            s, t = sum(counts[r][c] for r in same), sum(counts[r][c] > 0 for r in same)
+            backoff = shared(run[1:]) if run in counts else 1.0  # an unseen run's own is the same in both
+            own = max(counts.get(run, (0, 0))[c] - 0.75, 0)
+            logs.append(np.log(own / s + 0.75 * t / s * backoff if s else backoff))
+        return logs[1] - logs[0]
+
+    scorer = toxicity.Scorer(toxicity.model_of(toxicity.letter_runs(words)))
+    for word in ("abba", "abc", "cab", "abbb", "ca", "語語語", "abbab", "zzz", "cabbage"):
+        padded = "^^^^" + word + "$"
+        assert scorer.value(word)[0] == pytest.approx(sum(plain(padded[k : k + 5]) for k in range(len(word) + 1)), abs=1e-5), word
+    assert scorer.value("abbb")[0] != pytest.approx(sum(plain("^^^^abbb$"[k : k + 5]) for k in range(3)))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x", "s")]).where("false")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
