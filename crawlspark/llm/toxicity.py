@@ -21,7 +21,7 @@ labels and packed texts meet in the label join; scoring reads each text once and
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,9 @@ DISCOUNT = 0.75
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 1
-#: Runs whose two probabilities differ by less than this (log) say nothing: chance differences of ordinary words would outweigh a few insults.
-EVIDENCE = 1.0
+#: Runs whose two probabilities differ by less than one of these (log) say nothing, as chance differences of ordinary words can outweigh
+#: a few insults. The calibration fold chooses: the one of the least log loss there, and with 0 all runs speak.
+EVIDENCE = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
 #: Steps of the value axis in the calibration histogram, and its ends.
 _BINS, _SPAN = 2000, 1.0
 _WORD = re.compile(r"[^\W_]+")
@@ -72,6 +73,10 @@ class Model:
         there = self.key[at] == keys
         return np.where(there, self.delta[at], np.float32(0)), there
 
+    def above(self, least: float) -> "Model":
+        """The model without what says less; it stays there, so as not to count as unseen."""
+        return replace(self, delta=np.where(np.abs(self.delta) >= least, self.delta, np.float32(0)))
+
     def score(self, value: np.ndarray, words: np.ndarray) -> np.ndarray:
         x = (self.slope + self.by_length * np.log1p(words)) * value + self.shift
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -199,8 +204,7 @@ def unseen(runs: DataFrame) -> DataFrame:
 def model_of(runs: DataFrame) -> Model:
     """All runs and histories, without a curve."""
     told = differences(runs).select("run", "delta").unionAll(unseen(runs))
-    said = F.when(F.abs("delta") >= EVIDENCE, F.col("delta")).otherwise(0.0)  # a run that says nothing is not an unseen one
-    table = told.select(F.xxhash64("run").alias("h"), said.cast("float").alias("delta")).toArrow()
+    table = told.select(F.xxhash64("run").alias("h"), F.col("delta").cast("float").alias("delta")).toArrow()
     key, delta = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(key)
     return Model(key[order], delta[order])
@@ -213,27 +217,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     runs = scratch.table("runs", letter_runs(word_counts(_labelled(docs, labels, label, counting))))
     model = model_of(runs)
     scratch.drop("runs")
-    model.slope, model.by_length, model.shift = _calibrate(model, docs, labels, label)
-    return model
+    least, (model.slope, model.by_length, model.shift) = _calibrate(model, docs, labels, label)
+    return model.above(least)
 
 
-def _calibrate(model: Model, docs: DataFrame, labels: DataFrame, label: str) -> tuple[float, float, float]:
-    """Logistic curve over the calibration fold, fitted to a histogram of fixed size."""
+def _calibrate(model: Model, docs: DataFrame, labels: DataFrame, label: str) -> tuple[float, tuple[float, float, float]]:
+    """Least evidence, and the logistic curve over the calibration fold, fitted to a histogram of fixed size for each."""
     part = _labelled(docs, labels, label, fold(F.col("doc_id")) == CALIBRATION)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, unpack = Scorer(sent.value), zstandard.ZstdDecompressor()
+        scorers, unpack = [Scorer(sent.value.above(least)) for least in EVIDENCE], zstandard.ZstdDecompressor()
         for batch in batches:
-            found = [scorer.value(unpack.decompress(p.as_py()).decode("utf-8", "replace")) for p in batch.column(0)]
-            value, words = np.array(found, float).reshape(-1, 2).T
-            at = np.round((np.clip(value, -_SPAN, _SPAN) + _SPAN) / (2 * _SPAN) * _BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((2 * np.log1p(words)).astype(np.int32)), batch.column(1)], names=["at", "length", "toxic"])
-
-    bins = part.mapInArrow(run, "at int, length int, toxic int").groupBy("at", "length", "toxic").agg(F.count("*").alias("n")).toArrow()
-    at, length, toxic, n = (bins.column(k).to_numpy().astype(float) for k in range(4))
+            texts = [unpack.decompress(p.as_py()).decode("utf-8", "replace") for p in batch.column(0)]
+            for k, scorer in enumerate(scorers):
+                value, words = np.array([scorer.value(t) for t in texts], float).reshape(-1, 2).T
+                at = np.round((np.clip(value, -_SPAN, _SPAN) + _SPAN) / (2 * _SPAN) * _BINS).astype(np.int32)
+                length = (2 * np.log1p(words)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(length), batch.column(1)], names=["k", "at", "length", "toxic"])
+
+    keys = ["k", "at", "length", "toxic"]
+    bins = part.mapInArrow(run, "k int, at int, length int, toxic int").groupBy(*keys).agg(F.count("*").alias("n")).toArrow()
+    which, at, length, toxic, n = (bins.column(k).to_numpy().astype(float) for k in range(5))
     if len(set(toxic)) < 2:
-        return Model.slope, Model.by_length, Model.shift
+        return 0.0, (Model.slope, Model.by_length, Model.shift)
+    fits = [_curve(*(x[which == k] for x in (at, length, toxic, n))) for k in range(len(EVIDENCE))]
+    best = min(range(len(EVIDENCE)), key=lambda k: fits[k][0])
+    return EVIDENCE[best], fits[best][1]
+
+
+def _curve(at: np.ndarray, length: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, tuple[float, float, float]]:
+    """Log loss and parameters of the fitted curve."""
     value = at / _BINS * 2 * _SPAN - _SPAN
     x = np.stack([value, value * length / 2, np.ones_like(value)], 1)
     scale = np.maximum(np.abs(x).max(0), 1e-9)
@@ -247,7 +261,8 @@ def _calibrate(model: Model, docs: DataFrame, labels: DataFrame, label: str) ->
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(float(b) for b in beta / scale)
+    loss = n * np.logaddexp(0, np.where(toxic > 0, -1, 1) * (x @ beta))
+    return float(loss.sum()), tuple(float(b) for b in beta / scale)
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:

@@ -233,8 +233,18 @@ def test_backoff_probabilities_sum_to_one(spark):
     assert delta["^^^^c"] > 0 > delta["^^^ab"] and all(np.isfinite(list(delta.values())))
 
 
-def test_scores_equal_plain_kneser_ney_and_unseen_runs_back_off(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "EVIDENCE", 0.0)
+def test_many_small_differences_tell_toxic_texts(spark):
+    rng = random.Random(7)
+    words = [a + b for a in ("ba", "ko", "ti", "re", "mu") for b in ("ran", "lis", "nor", "tas")]
+    odds = [1.5 if k % 2 else 1 / 1.5 for k in range(20)]  # each word less than e times likelier
+    rows = [(k, " ".join(rng.choices(words, odds if k % 2 else None, k=300)), "s") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    got = toxicity.score(docs, toxicity.train(docs, labels), "s").withColumn("f", toxicity.fold(docs["doc_id"])).where("f = 0").collect()
+    assert sum((r.s >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 0.9 * len(got) > 30
+
+
+def test_scores_equal_plain_kneser_ney_and_unseen_runs_back_off(spark):
     words = spark.createDataFrame([("abba", 5, 1), ("abc", 2, 0), ("cab", 0, 3), ("b", 1, 1), ("abbc", 0, 2), ("語語文", 0, 1)], "word string, n0 long, n1 long")
     counts = {r.run: (r.n0, r.n1) for r in toxicity.letter_runs(words).collect()}
 
