@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crawlspark.llm import html_text, mixing, near_dup, nearest, packing, toxicity, training_order, url_filter, vector_dup, warc
+from crawlspark.llm import html_text, mixing, near_dup, nearest, packing, phrases, sql_texts, suffix_index, toxicity, training_order, url_filter, vector_codes, vector_dup, warc
 from crawlspark.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,20 @@ def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
 SQL_NEAR_DUP = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -130,5 +144,15 @@ QUERIES: dict[str, Query] = {
     "op8_text_ratio": op8_text_ratio,
     "op9_blocked_bloom": op9_blocked_bloom,
     "op10_stable_projections": op10_stable_projections,
+    "op11_suffix_family": op11_suffix_family,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_ball_kmeans": op13_ball_kmeans,
+}
+ORACLES: dict[str, str] = {
+    "op4_hyperminhash": SQL_NEAR_DUP,
+    "op7_pca_tiles": SQL_VECTOR_DUP,
+    "op9_blocked_bloom": SQL_RULES,
+    "op11_suffix_family": sql_texts.REPEATS,
+    "op12_fingerprints": sql_texts.phrases(),
+    "op13_ball_kmeans": sql_texts.vector_codes(),
 }
-ORACLES: dict[str, str] = {"op4_hyperminhash": SQL_NEAR_DUP, "op7_pca_tiles": SQL_VECTOR_DUP, "op9_blocked_bloom": SQL_RULES}
