@@ -6,11 +6,11 @@ REPEATS = """
 WITH h AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
 ), k AS (
-  SELECT doc_id, x, unnest(range(0, length(x) // 2, 512)) AS at FROM h
+  SELECT doc_id, x, unnest(range(0, length(x) // 2, 512)) AS pos FROM h
 ), p AS (
-  SELECT doc_id, at, substr(x, 2 * at + 1, 2 * (512 + 99)) AS y, least(512, length(x) // 2 - at) AS n FROM k
+  SELECT doc_id, pos, substr(x, 2 * pos + 1, 2 * (512 + 99)) AS y, least(512, length(x) // 2 - pos) AS n FROM k
 ), b AS (
-  SELECT doc_id, at + unnest(range(n)) AS i, unnest(list_transform(range(n), lambda i: substr(y, 2 * i + 1, 200))) AS w FROM p
+  SELECT doc_id, pos + unnest(range(n)) AS i, unnest(list_transform(range(n), lambda i: substr(y, 2 * i + 1, 200))) AS w FROM p
 ), s AS (
   SELECT doc_id, i, left(w, 2) AS byte, length(w) = 200 AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM b
 ), c AS (
