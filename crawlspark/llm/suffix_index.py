@@ -44,8 +44,10 @@ _SPAN = 4 * LENGTH
 _random = np.random.default_rng(11)
 _SYMBOLS = _random.integers(1 << 62, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNKS = "chunk long, bytes long, doc_ids binary, ties binary, sizes binary, data binary"
-_ENTRIES = "bucket long, chunk long, entries binary"
+#: kind 0 is repeats, kind 1 entries, those of a chunk to one bucket
+_ENTRIES = "bucket long, chunk long, kind int, entries binary"
 _FOUND = "chunk long, kind int, marks binary"
+_ENTRY_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 _LAST = np.int64((1 << 63) - 1)
 _HASHES: dict[int, tuple[Polynomial, Polynomial]] = {}
 
@@ -163,16 +165,16 @@ def _settle_inside(chunk: _Chunk, keys: list[np.ndarray], place: np.ndarray) ->
 
 
 def _send(chunk: _Chunk, keys: list[np.ndarray], place: np.ndarray, further: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """The chunk's earliest entries by bucket, and its own repeats under bucket -1."""
+    """The chunk's earliest entries by bucket, and its own repeats, which only pass through a bucket."""
     kept, repeated = _settle_inside(chunk, keys, place)
     if len(repeated):
         repeated = repeated[np.argsort(place[repeated])]
-        yield -1, chunk.number, pack(place[repeated].astype(np.uint32), further[repeated].astype(np.uint16))
+        yield chunk.number % buckets, chunk.number, 0, pack(place[repeated].astype(np.uint32), further[repeated].astype(np.uint16))
     to = dealt(keys[0][kept], buckets).astype(np.int64)
     doc = chunk.document(place)
     for b in np.unique(to):
         mine = kept[to == b]
-        yield int(b), chunk.number, pack(*(k[mine] for k in keys), chunk.order_ids[doc[mine]], chunk.ties[doc[mine]], place[mine].astype(np.uint32), further[mine].astype(np.uint16))
+        yield int(b), chunk.number, 1, pack(*(k[mine] for k in keys), chunk.order_ids[doc[mine]], chunk.ties[doc[mine]], place[mine].astype(np.uint32), further[mine].astype(np.uint16))
 
 
 def _entries_of(buckets: int, length: int):
@@ -181,7 +183,7 @@ def _entries_of(buckets: int, length: int):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 chunk = _Chunk(*row)
                 gram, whole, place, further = _runs(chunk, length)
-                yield batch(_ENTRIES, [pa.int64(), pa.int64(), pa.binary()], list(_send(chunk, [gram, whole], place, further, buckets)))
+                yield batch(_ENTRIES, _ENTRY_TYPES, list(_send(chunk, [gram, whole], place, further, buckets)))
 
     return run
 
@@ -269,10 +271,13 @@ def _by_chunk(kind: int, chunk: np.ndarray, place: np.ndarray, further: np.ndarr
 
 def _indexed(rows: pa.Table) -> pa.Table:
     """One bucket: its batches go through the family; repeats (kind 0) and marked entries (kind 1) by chunk."""
-    family = Family()
-    for number, entries in sorted(zip(rows.column("chunk").to_pylist(), rows.column("entries").to_pylist(), strict=True)):
-        family.add(number, *unpack(entries))
-    out = []
+    family, out = Family(), []
+    for number, kind, at in sorted(zip(rows.column("chunk").to_pylist(), rows.column("kind").to_pylist(), range(len(rows)), strict=True)):
+        entries = rows.column("entries")[at].as_py()
+        if kind:
+            family.add(number, *unpack(entries))
+        else:
+            out.append((number, 0, entries))
     for repeats in family.repeats:
         out += _by_chunk(0, *repeats)
     for level in family.levels:
@@ -292,7 +297,7 @@ def _strings_of(buckets: int, length: int, path: str):
                 chunk = _Chunk(*row)
                 place, further = (np.concatenate(x).astype(np.int64) for x in zip(*marks, strict=True))
                 starts = np.unique(np.repeat(place, further + 1) + _upto(further + 1))
-                yield batch(_ENTRIES, [pa.int64(), pa.int64(), pa.binary()], list(_send(chunk, _string_hashes(chunk, starts, length), starts, np.zeros(len(starts), np.int64), buckets)))
+                yield batch(_ENTRIES, _ENTRY_TYPES, list(_send(chunk, _string_hashes(chunk, starts, length), starts, np.zeros(len(starts), np.int64), buckets)))
 
     return run
 
@@ -313,16 +318,22 @@ def _string_hashes(chunk: _Chunk, starts: np.ndarray, length: int) -> list[np.nd
 
 def _earliest(rows: pa.Table) -> pa.Table:
     """One bucket of strings: all but the earliest of equal ones, by chunk."""
-    parts = []
-    for number, entries in zip(rows.column("chunk").to_pylist(), rows.column("entries").to_pylist(), strict=True):
-        one, two, doc, tie, place, further = unpack(entries)
-        parts.append((one, two, doc, tie, np.full(len(one), number), place, further))
+    parts, out = [], []
+    for _, number, kind, entries in zip(*(rows.column(c) for c in ("bucket", "chunk", "kind", "entries")), strict=True):
+        if kind.as_py():
+            one, two, doc, tie, place, further = unpack(entries.as_py())
+            parts.append((one, two, doc, tie, np.full(len(one), number.as_py()), place, further))
+        else:
+            out.append((number.as_py(), 0, entries.as_py()))
+    if not parts:
+        return pa.Table.from_batches([batch(_FOUND, [pa.int64(), pa.int32(), pa.binary()], out)])
     one, two, doc, tie, number, place, further = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((place, number, tie, doc, two, one))
     again = np.zeros(len(order), bool)
     again[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
     gone = order[again]
-    return pa.Table.from_batches([batch(_FOUND, [pa.int64(), pa.int32(), pa.binary()], list(_by_chunk(0, number[gone], place[gone], further[gone])))])
+    out += _by_chunk(0, number[gone], place[gone], further[gone])
+    return pa.Table.from_batches([batch(_FOUND, [pa.int64(), pa.int32(), pa.binary()], out)])
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>, kept binary"
@@ -341,7 +352,7 @@ def _cut_out(path: str, length: int, texts: bool):
                     place, further = (x.astype(np.int64) for x in unpack(marks))
                     np.add.at(steps, place, 1)
                     np.add.at(steps, place + further + length, -1)
-                gone = np.cumsum(steps[:-1]) > 0
+                gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
                 out, size = [], 0
                 for doc, (lo, hi) in enumerate(zip(chunk.starts, chunk.ends, strict=True)):
                     cover, data = gone[lo:hi], chunk.data[lo:hi]
@@ -382,14 +393,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     read = cut.select("chunk", "doc_ids", "ties", "sizes", "data")
     total = cut.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-2 * total // ((length - min(GRAM, length) + 1) * BUCKET)))
-    entries = scratch.table("entries", read.mapInArrow(_entries_of(buckets, length), _ENTRIES))
-    found = scratch.table("found", entries.where("bucket >= 0").groupBy("bucket").applyInArrow(_indexed, _FOUND))
-    own = entries.where("bucket < 0").select("chunk", F.col("entries").alias("marks"))
+    entries = read.mapInArrow(_entries_of(buckets, length), _ENTRIES).repartition(buckets, "bucket")
+    found = scratch.table("found", entries.groupBy("bucket").applyInArrow(_indexed, _FOUND))
     write_by_key(found.where("kind = 1").select("chunk", "marks"), "chunk", scratch.path("edges"))
-    edges = read.mapInArrow(_strings_of(buckets, length, scratch.path("edges")), _ENTRIES)
-    strings = scratch.table("strings", edges)
-    again = strings.where("bucket >= 0").groupBy("bucket").applyInArrow(_earliest, _FOUND).select("chunk", "marks")
-    again = again.union(strings.where("bucket < 0").select("chunk", F.col("entries").alias("marks")))
-    write_by_key(own.union(found.where("kind = 0").select("chunk", "marks")).union(again), "chunk", scratch.path("marks"))
-    scratch.drop("entries", "found", "edges", "strings")
+    strings = read.mapInArrow(_strings_of(buckets, length, scratch.path("edges")), _ENTRIES).repartition(buckets, "bucket")
+    again = strings.groupBy("bucket").applyInArrow(_earliest, _FOUND)
+    write_by_key(found.where("kind = 0").union(again).select("chunk", "marks"), "chunk", scratch.path("marks"))
+    scratch.drop("found", "edges")
     return read.mapInArrow(_cut_out(scratch.path("marks"), length, texts), _RESULT)
