@@ -152,7 +152,8 @@ def _runs(chunk: _Chunk, length: int) -> list[np.ndarray]:
             continue
         two_sums = two.prefixes(_SYMBOLS[1][data])
         found = mixed(two.runs(two_sums, first, end + length) + ((anchor[first] - first) * (2 * length) + end - first).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-        out.append((mixed(grams[anchor[first]]), found, first + at, end - first))
+        # keys are least hashes, so mostly small: buckets need another one
+        out.append((mixed(grams[anchor[first]] + np.uint64(1)), found, first + at, end - first))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
 
 
