@@ -2,12 +2,12 @@
 
 Texts are cut into blocks of word numbers once. Prefix polynomials over the hashes of a block's
 words give the fingerprint of every n-gram, language and length mixed in. A fingerprint falls into
-one of so many cells that a cell gets two n-grams on average; a block sends each cell it has once, with
+one of eight times as many cells as there are n-grams; a block sends each cell it has once, with
 its count, packed by ranges of cells. A range adds the counts of all blocks: what lies in a cell below
 the threshold can't be frequent, so only the other cells go back to the blocks they came from (the
 pointers). There all occurrences in such cells are grouped by fingerprint, compared word by word with
-the first of their group, and only those texts are materialised and counted again, by text. So
-collisions cost work and never change a count.
+the first of their group, and only those texts are materialised, packed by ranges again and counted
+by text. So collisions cost work and never change a count.
 
 Ranges are as many as the words ask for, each of the same size; a hot phrase adds one cell a block.
 """
@@ -34,8 +34,10 @@ UNKNOWN = "und"
 #: Text of a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Cells of a range, as a power of two, and n-grams it is meant for.
-RANGE_BITS = 19
-RANGE_GRAMS = 1 << 20
+RANGE_BITS = 25
+RANGE_GRAMS = 1 << 22
+#: Phrases a task adds up before it sends them.
+_HELD = 400_000
 #: Words hashed at once.
 _SLICE = 1 << 19
 _WORDS = Polynomial(0x9E3779B97F4A7C15, _SLICE + MOST_WORDS)
@@ -43,6 +45,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcd
 _BLOCKS = "block long, words long, langs array<string>, lang_words array<long>, vocabulary binary, tokens binary"
 _CELLS = "bucket long, block long, cells binary"
 _COUNTED = "lang string, words int, phrase string, n long"
+_SENT = "bucket long, langs array<string>, counts binary, texts binary"
 
 
 def _cut(texts: pa.Array, langs: list[str]) -> tuple | None:
@@ -144,10 +147,11 @@ def _frequent_cells(least: int):
     """Of one range: each block's cells whose counts over all blocks reach ``least``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        counts, out = np.zeros(1 << RANGE_BITS, np.int64), []
+        counts, out = np.zeros(1 << RANGE_BITS, np.uint8 if least < 128 else np.int64), []
         for cells in rows.column("cells"):
             steps, n = unpack(cells.as_py())
-            counts[np.cumsum(steps)] += n
+            at = np.cumsum(steps)
+            counts[at] = np.minimum(counts[at] + n, least)  # more than enough counts as enough
         enough = counts >= least
         for bucket, block, cells in zip(*(rows.column(c).to_pylist() for c in ("bucket", "block", "cells")), strict=True):
             at = np.cumsum(unpack(cells)[0])
@@ -162,7 +166,7 @@ def _frequent_cells(least: int):
 def _texts_of(buckets: int, most: int, path: str):
     """Each block's n-grams in frequent cells, by text, with their counts in the block."""
 
-    def grouped(block: _Block, n: int, places: np.ndarray, fingerprints: np.ndarray) -> Iterator[tuple[int, int]]:
+    def grouped(block: _Block, n: int, places: np.ndarray, fingerprints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         order = np.argsort(fingerprints, kind="stable")
         places, fingerprints = places[order], fingerprints[order]
         starts = np.flatnonzero(np.diff(fingerprints, prepend=fingerprints[0] ^ np.uint64(1)))
@@ -172,31 +176,66 @@ def _texts_of(buckets: int, most: int, path: str):
         for j in range(n):
             same &= block.tokens[places + j] == block.tokens[first + j]
         alike = np.add.reduceat(same, starts) == sizes
-        yield from zip(places[starts][alike].tolist(), sizes[alike].tolist(), strict=True)
-        for lo, size in zip(starts[~alike], sizes[~alike], strict=True):  # different texts with one fingerprint
+        prints = fingerprints[starts]
+        yield from zip(places[starts][alike].tolist(), sizes[alike].tolist(), prints[alike].tolist(), strict=True)
+        for lo, size, f in zip(starts[~alike], sizes[~alike], prints[~alike].tolist(), strict=True):  # different texts with one fingerprint
             rows = np.stack([block.lang[places[lo : lo + size]], *(block.tokens[places[lo : lo + size] + j] for j in range(n))], 1)
             _, at, count = np.unique(rows, axis=0, return_index=True, return_counts=True)
-            yield from zip(places[lo + at].tolist(), count.tolist(), strict=True)
+            yield from ((i, c, f) for i, c in zip(places[lo + at].tolist(), count.tolist(), strict=True))
+
+    def sent(held: dict[tuple, int]) -> pa.RecordBatch:
+        by_bucket: dict[int, list] = {}
+        for (bucket, lang, n, phrase), count in held.items():
+            by_bucket.setdefault(bucket, []).append((lang, n, phrase, count))
+        rows = []
+        for bucket, found in sorted(by_bucket.items()):
+            lang, n, phrase, count = zip(*sorted(found), strict=True)
+            names, lang = np.unique(np.array(lang, object), return_inverse=True)
+            texts = np.frombuffer(b"\n".join(phrase), np.uint8)
+            rows.append((bucket, names.tolist(), pack(lang.astype(np.uint32), np.array(n, np.uint8), np.array(count, np.int64)), pack(texts)))
+        return batch(_SENT, [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()], rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
         for b in batches:
             for number, langs, vocabulary, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 wanted = [unpack(c)[0] for c in read_by_key(path, "block", number, "cells")]
                 if not wanted:
                     continue
                 wanted, block = np.sort(np.concatenate(wanted)), _Block(langs, vocabulary, tokens)
-                held: dict[int, list] = {}
+                hits: dict[int, list] = {}
                 for n, places, fingerprints in block.grams(most):
                     cells = _cell(fingerprints, buckets)
                     hit = wanted[np.minimum(np.searchsorted(wanted, cells), len(wanted) - 1)] == cells
-                    held.setdefault(n, []).append((places[hit], fingerprints[hit]))
-                for n, parts in held.items():
+                    hits.setdefault(n, []).append((places[hit], fingerprints[hit]))
+                for n, parts in hits.items():
                     places, fingerprints = (np.concatenate(x) for x in zip(*parts, strict=True))
                     if not len(places):
                         continue
-                    rows = [(langs[block.lang[i]], n, b" ".join([block.words[t] for t in block.tokens[i : i + n]]).decode(), c) for i, c in grouped(block, n, places, fingerprints)]
-                    for lo in range(0, len(rows), 50_000):
-                        yield batch(_COUNTED, [pa.string(), pa.int32(), pa.string(), pa.int64()], rows[lo : lo + 50_000])
+                    for i, count, f in grouped(block, n, places, fingerprints):
+                        key = f * buckets >> 64, langs[block.lang[i]], n, b" ".join([block.words[t] for t in block.tokens[i : i + n]])
+                        held[key] = held.get(key, 0) + count
+                if len(held) >= _HELD:
+                    yield sent(held)
+                    held = {}
+        if held:
+            yield sent(held)
+
+    return run
+
+
+def _counted(least: int):
+    """Of one range: phrases that occur ``least`` times, by text."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = []
+        for langs, counts, texts in zip(*(rows.column(c) for c in ("langs", "counts", "texts")), strict=True):
+            lang, n, count = unpack(counts.as_py())
+            phrase = pa.array(unpack(texts.as_py())[0].tobytes().split(b"\n"), pa.binary())
+            parts.append(pa.table([pa.array(langs.as_py(), pa.string()).take(pa.array(lang)), pa.array(n, pa.int32()), phrase, pa.array(count)], names=["lang", "words", "phrase", "n"]))
+        out = pa.concat_tables(parts).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        out = out.filter(pc.greater_equal(out.column("n_sum"), least))
+        return pa.table([out.column("lang"), out.column("words"), out.column("phrase").cast(pa.string()), out.column("n_sum")], names=["lang", "words", "phrase", "n"])
 
     return run
 
@@ -209,8 +248,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, most: int = MOST_WORDS,
     read = cut.select("block", "langs", "vocabulary", "tokens")
     cells = read.mapInArrow(_cells_of(buckets, most, least), _CELLS)
     write_by_key(cells.groupBy("bucket").applyInArrow(_frequent_cells(least), _CELLS).select("block", "cells"), "block", scratch.path("cells"))
-    counted = read.mapInArrow(_texts_of(buckets, most, scratch.path("cells")), _COUNTED)
-    counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    texts = read.mapInArrow(_texts_of(buckets, most, scratch.path("cells")), _SENT)
+    counted = texts.groupBy("bucket").applyInArrow(_counted(least), _COUNTED)
     per = cut.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n"))
     return scratch.table("frequent", counted), per
 
