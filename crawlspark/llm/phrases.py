@@ -32,12 +32,12 @@ LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
 #: Text of a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Cells of a range, as a power of two, and n-grams it is meant for.
 RANGE_BITS = 25
 RANGE_GRAMS = 1 << 22
 #: Phrases a task adds up before it sends them.
-_HELD = 400_000
+_HELD = 150_000
 #: Words hashed at once.
 _SLICE = 1 << 19
 _WORDS = Polynomial(0x9E3779B97F4A7C15, _SLICE + MOST_WORDS)
