@@ -1,30 +1,38 @@
-"""Extraction from page HTML with built-in regular-expression functions.
+"""Extraction from page HTML with built-in functions.
 
-No back-references, so the patterns of elements and attributes also run on engines of
-the RE2 family. Limits: a ``>`` inside an attribute value ends the tag early, and the inner
-text of an element ends at the first closing tag of that name.
+``tokens`` cuts a page once into tags, texts, comments and whole script and style elements, quoted
+attribute values taken whole; elements, attributes and texts are then found in that array. An element
+ends at the closing tag that matches it, a paragraph also at the next one, or with the page. Character
+references are decoded as browsers do: all names, those without a semicolon that may do so, and
+numbers with their replacements.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-
-from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from crawlspark import markers as M
 from crawlspark.functions import predicates as P
 from crawlspark.functions import urls as U
+from crawlspark.functions.binding import let
 
 # An attribute value: double-quoted, single-quoted or bare.
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _INVISIBLE = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 )
-# A part of an opening tag: a quoted value as a whole, so a > inside it doesn't end the tag.
-_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
+# The attributes of a tag up to some place, as few as needed; what may follow them starts with blanks.
+_ATTRIBUTES = r"""(?:[\s/]++(?:[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>]++))?+)?+)*?[\s/]++"""
+# The rest of a tag; a quoted value as a whole, so a > inside it doesn't end the tag.
+_REST = r"""[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>"""
+_TEXT = r"(?:<(?![A-Za-z/!?])[^<]*+)*+"
+_PIECE = (
+    rf"(?is)<!--.*?(?:-->|\z)|<script(?=[\s/>]){_REST}.*?(?:</script\s*+>|\z)|<style(?=[\s/>]){_REST}.*?(?:</style\s*+>|\z)"
+    rf"|</?[A-Za-z]{_REST}|<[A-Za-z/!?][^>]*+>|[^<]++{_TEXT}|<(?![A-Za-z/!?])[^<]*+{_TEXT}|<[^<]*+"
+)
 URL_LITERAL = r"""["'`]((?:https?:)?//[^"'`\s]+|/[A-Za-z0-9._~/%+?&=-]+)["'`]"""
 
 
@@ -33,35 +41,61 @@ def markup(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _INVISIBLE, "")
 
 
-_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-# HTML's names of Latin letters, punctuation and signs; other names stay as they are.
-_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-_NAME_TEXT = "\u0002".join(f"{name}\u0001{char}" for name, char in _NAMED.items())
-
-
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, so nested expressions don't multiply."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+# What may stand behind the ampersand of a reference.
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
+_NAMES = [*_COMMON, *(n for n in html5 if n.endswith(";") and n not in _COMMON)]
+_NAME_TEXT = "".join(f"\u0002{n}\u0001{html5[n]}" for n in _NAMES)
+# Names that end without a semicolon, the longest first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_BARE_TEXT = "".join(f"\u0002{n}\u0001{html5[n]}" for n in _BARE)
+# Numbers 128 to 159 are read as Windows-1252 where that has a character.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+_WINDOWS_TEXT = "".join(f"\u0002{n}\u0001{c}" for n, c in _WINDOWS.items())
 
 
 def unescape(text: Column) -> Column:
     """Character references by number or name, each decoded once; texts without any are left alone."""
-    names = F.str_to_map(F.lit(_NAME_TEXT), F.lit("\u0002"), F.lit("\u0001"))  # one literal, folded to a map
+
+    def found(table: str, key: Column) -> Column:
+        # a text is a lighter literal than a map, and the common names stand first
+        def behind(at: Column) -> Column:
+            return F.when(at > 0, F.substring_index(F.substring(F.lit(table), at + F.char_length(key) + 2, F.lit(3)), "\u0002", 1))
+
+        return let(F.instr(F.lit(table), F.concat(F.lit("\u0002"), key, F.lit("\u0001"))), behind)
+
+    def number(ref: Column) -> Column:
+        def code(digits: Column) -> Column:
+            short = F.char_length(digits) <= 8  # more can't be a character
+            hexadecimal = F.startswith(F.lower(ref), F.lit("#x"))
+            return F.coalesce(F.when(short & hexadecimal, F.conv(F.concat(F.lit("0"), digits), 16, 10)).when(short, F.concat(F.lit("0"), digits)).try_cast("long"), F.lit(0x110000))
+
+        return let(let(F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1), code), char)
+
+    def char(code: Column) -> Column:
+        silent = code.between(1, 8) | code.between(14, 31) | code.isin(11, 127) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+        return (
+            F.when((code > 0x10FFFF) | (code < 0) | code.between(0xD800, 0xDFFF), "\ufffd")
+            .when((code == 0) | (code == 13) | code.between(0x80, 0x9F), found(_WINDOWS_TEXT, code.cast("string")))
+            .when(silent, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
 
     def decoded(piece: Column) -> Column:
         # every piece but the first starts with what stood behind a reference's ampersand
-        ref = F.regexp_extract(piece, "^" + _REFERENCE[1:], 1)
-        digits = F.when(F.startswith(F.lower(ref), F.lit("#x")), F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8))
-        code = digits.try_cast("int")
-        # UTF-32 bytes of the number; nothing outside Unicode
-        char = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        known = F.when(F.startswith(ref, F.lit("#")), char).when(ref != "", F.try_element_at(names, ref))
-        return F.coalesce(F.concat(known, F.substr(piece, F.char_length(ref) + 2)), F.concat(F.lit("&"), piece))
+        def of(ref: Column) -> Column:
+            bare = F.regexp_extract(ref, "^(?:" + "|".join(_BARE) + ")", 0)
+            known = F.when(F.startswith(ref, F.lit("#")), number(ref)).when(F.endswith(ref, F.lit(";")), found(_NAME_TEXT, ref))
+            whole = F.concat(known, F.substr(piece, F.char_length(ref) + 1))
+            begun = let(bare, lambda b: F.concat(found(_BARE_TEXT, b), F.substr(piece, F.char_length(b) + 1)))
+            return F.coalesce(whole, begun, F.concat(F.lit("&"), piece))
+
+        return let(F.regexp_extract(piece, _REFERENCE, 1), of)
 
     def joined(pieces: Column) -> Column:
         return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), decoded), ""))
 
-    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&"), joined)).otherwise(t))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), joined)).otherwise(t))
 
 
 def _unquote(value: Column) -> Column:
@@ -70,7 +104,7 @@ def _unquote(value: Column) -> Column:
 
 def attribute_values(html: Column, tag: str, attribute: str) -> Column:
     """Values of one attribute over all tags of a name, in page order."""
-    pattern = rf"(?is)<{tag}(?:\s{_INSIDE}*?)?\s{attribute}\s*=\s*{_VALUE}"
+    pattern = rf"(?is)<{tag}(?=[\s/]){_ATTRIBUTES}{attribute}\s*=\s*{_VALUE}"
     return F.transform(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda v: unescape(_unquote(v))
     )
@@ -78,9 +112,9 @@ def attribute_values(html: Column, tag: str, attribute: str) -> Column:
 
 def attribute(tag_text: Column, name: str) -> Column:
     """One attribute of a single opening tag, NULL when absent."""
-    pattern = rf"(?is)\s{name}\s*=\s*{_VALUE}"
+    pattern = rf"(?is)^<[^\s/>]+{_ATTRIBUTES}{name}\s*=\s*{_VALUE}"
     # The capture holds the quotes, so it is only empty when there is no such attribute.
-    return unescape(_unquote(F.nullif(F.regexp_extract(tag_text, pattern, 1), F.lit(""))))
+    return let(F.regexp_extract(tag_text, pattern, 1), lambda v: F.when(v != "", unescape(_unquote(v))))
 
 
 def anchor_hrefs(html: Column) -> Column:
@@ -94,71 +128,101 @@ def script_sources(html: Column) -> Column:
     return attribute_values(bare, "script", "src")
 
 
-def text_of(html: Column) -> Column:
-    """Descendant text of a fragment, trimmed, NULL when nothing is left."""
-    return F.nullif(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"^\s+|\s+$", ""), F.lit(""))
+# --- tokens ------------------------------------------------------------------
+
+
+def tokens(html: Column) -> Column:
+    """array<struct<at, name, piece, text>> of a whole page, cut in one pass; ``text`` has its references decoded.
+
+    ``name`` is the lower-case element name of an opening tag, with a slash for a closing one, ``!``, ``?`` or ``/`` for
+    comments and declarations and empty for text. Script and style elements are one token each.
+    """
 
+    def token(piece: Column, at: Column) -> Column:
+        name = F.when(F.startswith(piece, F.lit("<")), F.lower(F.regexp_extract(piece, r"^<(/?[A-Za-z][^\s/>]*|[!?/])", 1))).otherwise("")
+        marked = F.startswith(piece, F.lit("<")) & piece.rlike("^<[A-Za-z/!?]")
+        plain = F.when(marked, None).when(F.contains(piece, F.lit("&")), unescape(piece)).otherwise(piece)
+        return F.struct((at + 1).alias("at"), name.alias("name"), piece.alias("piece"), plain.alias("text"))
 
-def element_pattern(tag: str, condition: str = "") -> str:
-    """Pattern of an opening tag holding ``condition`` somewhere among its attributes."""
-    inside = rf"\s[^>]*?{condition}[^>]*" if condition else r"(?:\s[^>]*)?"
-    return rf"<{tag}{inside}>"
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_PIECE), F.lit(0)), token)
+
+
+def having(condition: str = "", tag: str = r"[A-Za-z][^\s/>]*") -> str:
+    """Pattern of an opening tag with an attribute that fits ``condition``."""
+    return rf"<{tag}(?=[\s/>])" + (f"{_ATTRIBUTES}{condition}" if condition else "")
 
 
 def class_condition(name: str) -> str:
-    return rf"""\bclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
+    return rf"""class\s*=\s*(?:"(?:[^"]*\s)?(?:{name})(?:\s[^"]*)?"|'(?:[^']*\s)?(?:{name})(?:\s[^']*)?'|(?:{name})(?=[\s>]))"""
 
 
 def id_condition(name: str) -> str:
-    return rf"""\bid\s*=\s*["']{name}["']"""
+    return attr_condition("id", name)
 
 
 def attr_condition(name: str, value: str) -> str:
-    return rf"""\b{name}\s*=\s*["']{value}["']"""
+    return rf"""{name}\s*=\s*(?:"{value}"|'{value}'|{value}(?=[\s/>]))"""
 
 
-def element(html: Column, tag: str, condition: str = "") -> Column:
-    """Inner HTML of the first such element, NULL when it is empty or the page has none."""
-    return once(html, lambda page: inner(page, F.regexp_extract(page, rf"(?is){element_pattern(tag, condition)}", 0), tag))
+def openings(page: Column, tag: str, condition: str = "") -> Column:
+    """Tokens of all such opening tags."""
+    pattern = "(?is)^" + having(condition, tag)
+    return F.filter(page, lambda t: (t["name"] == tag) & t["piece"].rlike(pattern) if condition else t["name"] == tag)
+
+
+def opening(page: Column, tag: str, condition: str = "") -> Column:
+    """First such opening tag, NULL when absent."""
+    return F.try_element_at(openings(page, tag, condition), F.lit(1))
+
 
+def inside(page: Column, start: Column) -> Column:
+    """Tokens between an opening tag and the closing tag that matches it, or the page's end; NULL without a tag."""
 
-def inner(html: Column, opening: Column, tag: str | Column) -> Column:
-    """What stands between an opening tag of the page and the closing tag that matches it, or the page's end."""
-    name = F.lit(tag) if isinstance(tag, str) else tag
-    both = F.concat(F.lit("(?is)(<"), name, F.lit(rf"(?=[\s>/]){_INSIDE}*+>|</"), name, F.lit(r"\s*>)"))
+    def grown(state: Column, t: Column) -> Column:
+        closes = F.startswith(t["name"], F.lit("/"))
+        step = F.when(closes, -1).when(t["name"] == "p", -state["depth"]).otherwise(1)  # a paragraph holds none
+        depth = state["depth"] + step
+        ends = state["end"].isNull() & (depth <= 0)
+        return F.struct(depth.cast("int").alias("depth"), F.when(ends, t["at"]).otherwise(state["end"]).alias("end"))
 
-    def grown(state: Column, piece: Column) -> Column:
-        depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
-        goes_on = (state["depth"] > 0) & (depth > 0)
-        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"), (state["pieces"] + goes_on.cast("int")).alias("pieces"))
+    def of(o: Column) -> Column:
+        rivals = F.filter(page, lambda t: (t["at"] > o["at"]) & ((t["name"] == o["name"]) | (t["name"] == F.concat(F.lit("/"), o["name"]))))
+        none = F.struct(F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end"))
+        end = F.coalesce(F.aggregate(rivals, none, grown)["end"], F.element_at(page, -1)["at"] + 1)
+        return F.when(o.isNotNull(), F.slice(page, o["at"] - page[0]["at"] + 2, end - o["at"] - 1))
 
-    def held(pieces: Column) -> Column:
-        start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("pieces"))
-        kept = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces) - 1), start, grown)["pieces"]
-        return F.nullif(F.array_join(F.slice(pieces, F.lit(1), kept), ""), F.lit(""))
+    return let(start, of)
 
-    def behind(found: Column) -> Column:
-        rest = F.substr(html, F.instr(html, found) + F.char_length(found))
-        marked = F.regexp_replace(rest, both, F.lit("\u0001$1"))
-        return F.when(found != "", once(F.split(marked, "\u0001"), held))
 
-    return once(opening, behind)
+def text(part: Column, joiner: str = "") -> Column:
+    """Texts of some tokens, put together with ``joiner`` between two of them and trimmed, NULL when nothing is left."""
+    return let(F.regexp_replace(F.array_join(part["text"], joiner), r"^\s+|\s+$", ""), lambda found: F.when(found != "", found))
+
+
+def text_of(html: Column, joiner: str = "") -> Column:
+    """Descendant text of a fragment, trimmed, NULL when nothing is left."""
+    return text(tokens(html), joiner)
+
+
+def element(html: Column, tag: str, condition: str = "") -> Column:
+    """Inner HTML of the first such element, NULL when it is empty or the page has none."""
+    held = let(tokens(html), lambda page: inside(page, opening(page, tag, condition)))
+    return F.nullif(F.array_join(F.transform(held, lambda t: t["piece"]), ""), F.lit(""))
 
 
-def element_text(html: Column, tag: str, condition: str = "") -> Column:
-    return text_of(element(html, tag, condition))
+def element_text(html: Column, tag: str, condition: str = "", joiner: str = "") -> Column:
+    """Text of the first such element, NULL when it has none."""
+    return let(tokens(html), lambda page: text_in(page, tag, condition, joiner))
 
 
-def first_tag(html: Column, tag: str, condition: str = "") -> Column:
-    """First such opening tag itself, NULL when absent."""
-    return F.nullif(F.regexp_extract(html, rf"(?is){element_pattern(tag, condition)}", 0), F.lit(""))
+def text_in(page: Column, tag: str, condition: str = "", joiner: str = "") -> Column:
+    """``element_text`` on tokens."""
+    return text(inside(page, opening(page, tag, condition)), joiner)
 
 
-def blocks(html: Column, opening: str) -> Column:
-    """Pieces of the page from one matching opening tag up to the next one."""
-    marked = F.regexp_replace(html, rf"(?is)({opening})", "\u0001$1")
-    pieces = F.split(marked, "\u0001")
-    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+def attribute_in(page: Column, tag: str, name: str, condition: str = "") -> Column:
+    """An attribute of the first such opening tag."""
+    return attribute(opening(page, tag, condition)["piece"], name)
 
 
 # --- listing pages ----------------------------------------------------------
@@ -247,18 +311,18 @@ def sample_or_note(text: Column, max_chars: int = 8000) -> Column:
 def job_link_sample(html: Column, max_items: int = 5, max_chars: int = 6000) -> Column:
     """First matched job anchors in their list item or table cell, else the cleaned page."""
     body = markup(html)
-    anchor = r"<a(?:\s[^>]*?)?\shref\s*=\s*" + _VALUE + r"[^>]*>.*?</a\s*>"
-    context = rf"(?is)(<li\b[^>]*>\s*{anchor}\s*</li\s*>|<td\b[^>]*>\s*{anchor}\s*</td\s*>|{anchor})"
+    anchor = rf"<a(?=[\s/]){_ATTRIBUTES}href\s*=\s*{_VALUE}{_REST}.*?</a\s*>"
+    context = rf"(?is)(<li(?=[\s>]){_REST}\s*{anchor}\s*</li\s*>|<td(?=[\s>]){_REST}\s*{anchor}\s*</td\s*>|{anchor})"
     snippets = F.regexp_extract_all(body, F.lit(context), F.lit(1))
 
     def wanted(snippet: Column) -> Column:
-        href = unescape(_unquote(F.regexp_extract(snippet, rf"(?is)<a(?:\s[^>]*?)?\shref\s*=\s*{_VALUE}", 1)))
-        return P.is_job_link(href)
+        href = unescape(_unquote(F.regexp_extract(snippet, rf"(?is)<a(?=[\s/]){_ATTRIBUTES}href\s*=\s*{_VALUE}", 1)))
+        return let(href, lambda h: P.is_job_link(h))
 
     joined = F.array_join(
         F.slice(F.filter(snippets, wanted), 1, max_items), "\n\n---\n\n"
     )
-    return F.when(joined != "", sample(joined, max_chars)).otherwise(sample(clean(html), max_chars))
+    return let(joined, lambda found: F.when(found != "", sample(found, max_chars)).otherwise(sample(clean(html), max_chars)))
 
 
 # --- rendered pagination ----------------------------------------------------

@@ -33,7 +33,7 @@ def _trim(text: Column) -> Column:
 
 
 def _filled(text: Column) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) != "", text)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 # --- JSON -------------------------------------------------------------------
@@ -99,27 +99,30 @@ def lever_feed(json: Column) -> Column:
 
 
 def lever_page(html: Column) -> Column:
-    """Records of an HTML listing: one block per posting element."""
-    opening = H.element_pattern("div", r"\bdata-qa-posting-id\s*=")
+    """Records of an HTML listing: one element per posting."""
 
-    def one(block: Column) -> Column:
-        title_tag = H.first_tag(block, "a", H.class_condition("posting-title"))
-        parts = FD.comma_parts(H.element_text(block, "span", H.class_condition("location")))
-        work = H.element_text(block, "span", H.class_condition("workplaceTypes"))
-        return record(
-            job_id=H.attribute(H.first_tag(block, "div"), "data-qa-posting-id"),
-            title=H.element_text(block, "h5", H.attr_condition("data-qa", "posting-name")),
-            url=H.attribute(title_tag, "href"),
-            apply_url=H.attribute(H.first_tag(block, "a", H.class_condition("posting-btn-submit")), "href"),
-            city=F.try_element_at(parts, F.lit(1)),
-            state=F.try_element_at(parts, F.lit(2)),
-            country=F.lit(M.DEFAULT_COUNTRY),
-            country_code=F.lit(M.DEFAULT_COUNTRY_CODE),
-            employment_type=H.element_text(block, "span", H.class_condition("commitment")),
-            work_type=_trim(F.regexp_replace(work, "[—\\- ]+$", "")),
+    def one(page: Column, start: Column) -> Column:
+        return let(H.inside(page, start), lambda block: fields(block, start))
+
+    def fields(block: Column, start: Column) -> Column:
+        work = H.text_in(block, "span", H.class_condition("workplaceTypes"))
+        return let(
+            let(H.text_in(block, "span", H.class_condition("location")), lambda t: FD.comma_parts(t)),
+            lambda parts: record(
+                job_id=H.attribute(start["piece"], "data-qa-posting-id"),
+                title=H.text_in(block, "h5", H.attr_condition("data-qa", "posting-name")),
+                url=H.attribute_in(block, "a", "href", H.class_condition("posting-title")),
+                apply_url=H.attribute_in(block, "a", "href", H.class_condition("posting-btn-submit")),
+                city=F.try_element_at(parts, F.lit(1)),
+                state=F.try_element_at(parts, F.lit(2)),
+                country=F.lit(M.DEFAULT_COUNTRY),
+                country_code=F.lit(M.DEFAULT_COUNTRY_CODE),
+                employment_type=H.text_in(block, "span", H.class_condition("commitment")),
+                work_type=_trim(F.regexp_replace(work, "[—\\- ]+$", "")),
+            ),
         )
 
-    return F.transform(H.blocks(html, opening), one)
+    return let(H.tokens(html), lambda page: F.transform(H.openings(page, "div", r"data-qa-posting-id\s*="), lambda start: one(page, start)))
 
 
 def listing(content: Column) -> Column:
@@ -130,144 +133,156 @@ def listing(content: Column) -> Column:
 
 def greenhouse_listing(html: Column) -> Column:
     """array<struct<url, title, location_text>> of links within table cells."""
-    opening = r"<td(?:\s[^>]*)?\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?cell(?:\s[^\"'>]*)?[\"'][^>]*>\s*<a\s"
-    rows = F.transform(
-        H.blocks(html, opening),
-        lambda b: F.struct(
-            H.attribute(H.first_tag(b, "a", r"\bhref\s*="), "href").alias("url"),
-            H.element_text(b, "p", H.class_condition("body--medium")).alias("title"),
-            H.element_text(b, "p", H.class_condition("body--metadata")).alias("location_text"),
-        ),
-    )
-    return F.filter(rows, lambda r: F.coalesce(r["url"], F.lit("")) != "")
 
+    def one(block: Column) -> Column:
+        return F.struct(
+            H.attribute_in(block, "a", "href", r"href\s*=").alias("url"),
+            H.text_in(block, "p", H.class_condition("body--medium"), " ").alias("title"),
+            H.text_in(block, "p", H.class_condition("body--metadata"), " ").alias("location_text"),
+        )
+
+    def rows(page: Column) -> Column:
+        return F.transform(H.openings(page, "td", H.class_condition("cell")), lambda start: let(H.inside(page, start), one))
 
-def greenhouse_detail(html: Column) -> dict[str, Column]:
-    body = H.element(html, "div", H.class_condition("job__description"))
-    paragraphs = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"), F.lit(1)),
-        lambda p: F.coalesce(H.text_of(p), F.lit("")),
-    )
-    stamp = _trim(H.attribute(H.first_tag(html, "meta", H.attr_condition("name", "date")), "content"))
-    date_text = F.coalesce(_filled(stamp), H.element_text(html, "time"))
-    return {
-        "title": H.element_text(html, "h1", H.class_condition("section-header")),
-        "location_text": H.text_of(
-            H.element(
-                F.regexp_extract(html, rf"(?is){H.element_pattern('div', H.class_condition('job__location'))}(.*)$", 1),
-                "div",
-            )
-        ),
-        "job_description": F.when(F.size(paragraphs) > 0, F.array_join(paragraphs, "\n")).otherwise(
-            H.text_of(body)
-        ),
-        "date_posted_text": date_text,
-        "date_posted": FD.iso_date(date_text),
-    }
+    return F.filter(let(H.tokens(html), rows), lambda r: F.coalesce(r["url"], F.lit("")) != "")
+
+
+def greenhouse_detail(html: Column) -> Column:
+    """struct of the fields of a detail page; texts are joined with one blank."""
+
+    def fields(page: Column) -> Column:
+        place = H.inside(page, H.opening(page, "div", H.class_condition("job__location")))
+        stamp = _trim(H.attribute_in(page, "meta", "content", H.attr_condition("name", "date")))
+
+        def described(body: Column) -> Column:
+            paragraphs = F.transform(H.openings(body, "p"), lambda p: F.coalesce(H.text(H.inside(body, p), " "), F.lit("")))
+            return let(paragraphs, lambda ps: F.when(F.size(ps) > 0, F.array_join(ps, "\n")).otherwise(H.text(body, " ")))
+
+        date_text = F.coalesce(_filled(stamp), H.text_in(page, "time", joiner=" "))
+        return let(
+            date_text,
+            lambda date: F.struct(
+                H.text_in(page, "h1", H.class_condition("section-header"), " ").alias("title"),
+                let(place, lambda block: H.text_in(block, "div", joiner=" ")).alias("location_text"),
+                let(H.inside(page, H.opening(page, "div", H.class_condition("job__description"))), described).alias("job_description"),
+                date.alias("date_posted_text"),
+                FD.iso_date(date).alias("date_posted"),
+            ),
+        )
+
+    return let(H.tokens(html), fields)
 
 
 def smartrecruiters_links(html: Column) -> Column:
     """Hrefs of the job-ad links of a listing, in order."""
-    tags = F.regexp_extract_all(
-        html, F.lit(rf"(?is)({H.element_pattern('a', H.class_condition('js-job-ad-link'))})"), F.lit(1)
-    )
-    return F.filter(
-        F.transform(tags, lambda t: H.attribute(t, "href")), lambda h: F.coalesce(h, F.lit("")) != ""
-    )
+    tags = let(H.tokens(html), lambda page: H.openings(page, "a", H.class_condition("js-job-ad-link")))
+    return F.filter(F.transform(tags, lambda t: H.attribute(t["piece"], "href")), lambda h: F.coalesce(h, F.lit("")) != "")
 
 
 def smartrecruiters_detail(html: Column, url: Column) -> Column:
-    place = H.first_tag(html, "spl-job-location")
-    where = FD.location_by_position(_filled(H.attribute(place, "formattedaddress")))
-    time_condition = H.attr_condition("itemprop", "datePosted")
-    date_text = H.element_text(html, "time", time_condition)
-    stamp = H.attribute(H.first_tag(html, "time", time_condition), "datetime")
-    return record(
-        title=H.element_text(html, "h1", H.attr_condition("itemprop", "title")),
-        job_id=U.id_before_dash(url),
-        city=where["city"],
-        state=where["state"],
-        country=where["country"],
-        url=url,
-        apply_url=url,
-        date_posted=FD.iso_date(F.coalesce(_filled(stamp), date_text)),
-        date_posted_text=date_text,
-        job_description=H.element_text(html, "div", H.attr_condition("itemprop", "description")),
-        employment_type=H.element_text(html, "li", H.attr_condition("itemprop", "employmentType")),
-        work_type=H.attribute(place, "workplacetype"),
-    )
+    posted = H.attr_condition("itemprop", "datePosted")
+
+    def fields(page: Column) -> Column:
+        parts = F.struct(
+            H.opening(page, "spl-job-location")["piece"].alias("place"),
+            H.text_in(page, "time", posted).alias("date_text"),
+            H.attribute_in(page, "time", "datetime", posted).alias("stamp"),
+        )
+        return let(parts, lambda part: let(let(_filled(H.attribute(part["place"], "formattedaddress")), lambda t: FD.location_by_position(t)), lambda where: one(page, part, where)))
+
+    def one(page: Column, part: Column, where: Column) -> Column:
+        return record(
+            title=H.text_in(page, "h1", H.attr_condition("itemprop", "title")),
+            job_id=U.id_before_dash(url),
+            city=where["city"],
+            state=where["state"],
+            country=where["country"],
+            url=url,
+            apply_url=url,
+            date_posted=let(F.coalesce(_filled(part["stamp"]), part["date_text"]), lambda t: FD.iso_date(t)),
+            date_posted_text=part["date_text"],
+            job_description=H.text_in(page, "div", H.attr_condition("itemprop", "description")),
+            employment_type=H.text_in(page, "li", H.attr_condition("itemprop", "employmentType")),
+            work_type=H.attribute(part["place"], "workplacetype"),
+        )
+
+    return let(H.tokens(html), fields)
 
 
 # Opening tags that hold a field on a detail page of unknown make.
-def _by_class(*names: str) -> str:
-    return rf"""\sclass\s*=\s*["'](?:[^"'>]*\s)?(?:{'|'.join(names)})(?:\s[^"'>]*)?["']"""
+def _by_class(*names: str, tag: str = r"[A-Za-z][^\s/>]*") -> str:
+    return "^" + H.having(H.class_condition("|".join(names)), tag)
 
 
 GENERIC_TAGS = {
-    "title": r"^<h[12][\s>]|" + _by_class("job-title", "title"),
+    "title": r"^<h[12][\s/>]|" + _by_class("job-title", "title"),
     "job_description": "|".join(
         [
             _by_class("job-description", "description"),
-            r"""\sid\s*=\s*["']jobDescription["']""",
-            r"""^<div(?=\s).*\sdata-test\s*=\s*["']jobDescription["']""",
-            r"^<section(?=\s).*" + _by_class("job-details"),
+            "^" + H.having(H.id_condition("jobDescription")),
+            "^" + H.having(H.attr_condition("data-test", "jobDescription"), "div"),
+            _by_class("job-details", tag="section"),
         ]
     ),
-    "date_posted_text": r"^<time[\s>]|" + _by_class("date-posted", "posted-date")
-    + r"""|^<meta(?=\s).*\sproperty\s*=\s*["']article:published_time["']""",
+    "date_posted_text": r"^<time[\s/>]|" + _by_class("date-posted", "posted-date")
+    + "|^" + H.having(H.attr_condition("property", "article:published_time"), "meta"),
     "employment_type": _by_class("employment-type", "employmentType", "job-type"),
     "work_type": _by_class("work-type", "workType", "location-type", "job-location-type"),
     "salary_range": _by_class("salary-range", "salary", "compensation", "pay-range"),
     "location_text": _by_class("location", "job-location", "city-state-country"),
-    "apply_tag": r"^<a(?=\s).*" + _by_class("apply", "btn-apply")
-    + r"""|^<a(?=\s).*\sdata-test\s*=\s*["']applyButton["']|^<a(?=\s).*\sdata-qa\s*=\s*["']apply["']""",
-    "page_title": r"^<title[\s>]",
+    "apply_tag": _by_class("apply", "btn-apply", tag="a")
+    + "|^" + H.having(H.attr_condition("data-test", "applyButton"), "a") + "|^" + H.having(H.attr_condition("data-qa", "apply"), "a"),
+    "page_title": r"^<title[\s/>]",
 }
-
-
-def _text_behind(html: Column, tag: Column) -> Column:
-    """Text from an opening tag to the closing tag that matches it, NULL without a tag.
-
-    ``tag`` is the first of its kind, so its first occurrence is the element looked for.
-    """
-    return H.text_of(H.inner(html, tag, F.regexp_extract(tag, "^<([A-Za-z0-9]+)", 1)))
+_TELLING_TAGS = ("h1", "h2", "time", "title")
 
 
 def generic_detail(html: Column, url: Column) -> Column:
     """struct of the fields of a detail page; location still as text.
 
-    The opening tags are listed in one pass over the page; each field then takes the first
-    tag, in page order, that fits any of its alternatives.
+    Each field takes the first tag, in page order, that fits any of its alternatives; tags without an
+    attribute, other than headings, times and titles, fit none and are left out first.
     """
 
     def first(tags: Column, name: str) -> Column:
-        return F.try_element_at(F.filter(tags, lambda t: t.rlike("(?is)" + GENERIC_TAGS[name])), F.lit(1))
+        return F.try_element_at(F.filter(tags, lambda t: t["piece"].rlike("(?is)" + GENERIC_TAGS[name])), F.lit(1))
 
-    def fields(found: Column) -> Column:
+    def fields(page: Column, found: Column) -> Column:
         def text(name: str) -> Column:
-            return _text_behind(html, found[name])
+            return H.text(H.inside(page, found[name]))
 
         date_tag = found["date_posted_text"]
-        date_text = F.when(
-            F.startswith(F.lower(date_tag), F.lit("<meta")), _filled(_trim(H.attribute(date_tag, "content")))
-        ).otherwise(text("date_posted_text"))
-        apply_href = F.coalesce(H.attribute(found["apply_tag"], "href"), F.lit(""))
-        return F.struct(
-            url.alias("url"),
-            F.coalesce(text("title"), text("page_title")).alias("title"),
-            U.id_after(url).alias("job_id"),
-            F.when(found["apply_tag"].isNotNull(), U.resolve(url, apply_href)).alias("apply_url"),
-            date_text.alias("date_posted_text"),
-            FD.iso_date(date_text).alias("date_posted"),
-            *[
-                text(n).alias(n)
-                for n in ("job_description", "employment_type", "work_type", "salary_range", "location_text")
-            ],
+        date_text = F.when(date_tag["name"] == "meta", _filled(_trim(H.attribute(date_tag["piece"], "content")))).otherwise(text("date_posted_text"))
+        apply_href = F.coalesce(H.attribute(found["apply_tag"]["piece"], "href"), F.lit(""))
+        return let(
+            date_text,
+            lambda date: F.struct(
+                url.alias("url"),
+                F.coalesce(text("title"), text("page_title")).alias("title"),
+                U.id_after(url).alias("job_id"),
+                F.when(found["apply_tag"].isNotNull(), let(apply_href, lambda href: U.resolve(url, href))).alias("apply_url"),
+                date.alias("date_posted_text"),
+                FD.iso_date(date).alias("date_posted"),
+                *[
+                    text(n).alias(n)
+                    for n in ("job_description", "employment_type", "work_type", "salary_range", "location_text")
+                ],
+            ),
+        )
+
+    def chosen(page: Column) -> Column:
+        opens = page_tags(page)
+        firsts = let(opens, lambda tags: F.struct(*[first(tags, n).alias(n) for n in GENERIC_TAGS]))
+        return let(firsts, lambda found: fields(page, found))
+
+    def page_tags(page: Column) -> Column:
+        return F.filter(
+            page,
+            lambda t: t["name"].isin(*_TELLING_TAGS)
+            | (F.startswith(t["piece"], F.lit("<")) & F.contains(t["piece"], F.lit("=")) & ~t["name"].isin("", "!", "?", "/", "script", "style")),
         )
 
-    tags = F.regexp_extract_all(H.markup(html), F.lit("(?s)<[A-Za-z][^>]*>"), F.lit(0))
-    chosen = let(tags, lambda t: F.struct(*[first(t, n).alias(n) for n in GENERIC_TAGS]))
-    return let(chosen, fields)
+    return let(H.tokens(html), chosen)
 
 
 def link_record(title: Column, href: Column) -> Column:

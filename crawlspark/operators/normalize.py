@@ -112,9 +112,8 @@ def greenhouse_records(
     )
     if country_code is not None:
         listed = listed.where(F.col("country_code") == country_code)
-    detail = detail_pages.select(
-        "url", *[c.alias(n) for n, c in PO.greenhouse_detail(F.col("html")).items()]
-    )
+    # Fields come out while the pages are scanned, so the join carries records, not HTML.
+    detail = detail_pages.select("url", F.inline(F.array(PO.greenhouse_detail(F.col("html")))))
     fields = ["title", "location_text", "job_description", "date_posted", "date_posted_text"]
     merged = listing_with_detail(
         listed.select("url", "title", "location_text"), detail, "url", fields

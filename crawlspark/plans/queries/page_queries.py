@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlspark import markers as M
 from crawlspark.functions import html as H
+from crawlspark.functions.binding import let
 from crawlspark.functions import predicates as P
 from crawlspark.functions import urls as U
 from crawlspark.operators import keyed as K
@@ -159,8 +160,8 @@ def _sql_unescape(t: str) -> str:
     return t
 
 
-def _sql_text(h: str) -> str:
-    flat = _sql_unescape(f"regexp_replace({h}, '<[^>]+>', ' ', 'g')")
+def _sql_text(h: str, joiner: str = "") -> str:
+    flat = _sql_unescape(f"regexp_replace({h}, '(<[^>]+>)+', '{joiner}', 'g')")
     return f"nullif(regexp_replace({flat}, '^\\s+|\\s+$', '', 'g'), '')"
 
 
@@ -174,17 +175,22 @@ def clean_html(spark, sf_dir):
     f"""SELECT page_id, {_sql_text("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title,
       {_sql_text("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS heading,
       {_sql_text("regexp_extract(html, '(?is)<div class=.ad.>(.*?)</div>', 1)")} AS ad,
-      {_sql_text("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS body FROM pages""",
+      {_sql_text("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} AS body,
+      {_sql_text("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)", " ")} AS spaced_body FROM pages""",
 )
 def element_text(spark, sf_dir):
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        H.element_text(html, "title").alias("title"),
-        H.element_text(html, "h1").alias("heading"),
-        H.element_text(html, "div", H.class_condition("ad")).alias("ad"),
-        H.element_text(html, "article").alias("body"),
+    """Texts of one token pass, put together without and with a blank."""
+    texts = let(
+        H.tokens(F.col("html")),
+        lambda page: F.struct(
+            H.text_in(page, "title").alias("title"),
+            H.text_in(page, "h1").alias("heading"),
+            H.text_in(page, "div", H.class_condition("ad")).alias("ad"),
+            H.text_in(page, "article").alias("body"),
+            H.text_in(page, "article", joiner=" ").alias("spaced_body"),
+        ),
     )
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(F.array(texts)))
 
 
 @query(

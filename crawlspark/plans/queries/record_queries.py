@@ -227,7 +227,7 @@ def lever_listing(spark, sf_dir):
 _GREENHOUSE_SQL = """
   SELECT CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' II' END AS title, CAST(p_partkey AS VARCHAR) AS job_id,
     CASE WHEN p_size > 25 THEN p_type WHEN p_size % 2 = 0 THEN 'Hall' ELSE p_type END AS city,
-    CASE WHEN p_size <= 25 AND p_size % 2 = 0 THEN 'NATION_1' ELSE 'India' END AS country,
+    CASE WHEN p_size <= 25 AND p_size % 2 = 0 THEN 'Nation_1' ELSE 'India' END AS country,
     CASE WHEN p_size <= 25 AND p_size % 2 = 0 THEN 'N1' ELSE 'IN' END AS country_code,
     CASE WHEN p_size > 25 THEN 'none' ELSE p_brand || chr(10) || p_type END AS job_description,
     CASE WHEN p_size > 25 THEN 'none' ELSE '2024-01-09T00:00:00' END AS date_posted
@@ -256,8 +256,7 @@ def greenhouse_records(spark, sf_dir):
         ).alias("html"),
     )
     out = N.greenhouse_records(listing, detail, countries(spark, sf_dir))
-    named = out.withColumn("country", F.regexp_replace("country", "^Nation", "NATION"))
-    return named.select(
+    return out.select(
         "title", "job_id", *_filled("city", "country", "country_code", "job_description", "date_posted")
     )
 
@@ -266,7 +265,7 @@ def greenhouse_records(spark, sf_dir):
     "smartrecruiters_records",
     """SELECT p_name AS title, CAST(p_partkey AS VARCHAR) AS job_id, p_type AS city, p_brand AS state, 'NATION_1' AS country,
       'remote' AS work_type, 'Full-time' AS employment_type, 'May 4, 2024' AS date_posted_text,
-      CASE WHEN p_size % 2 = 0 THEN '2024-05-04T10:00:00.120000+00:00' ELSE '2024-05-04T00:00:00' END AS date_posted, p_type || ' x' AS job_description
+      CASE WHEN p_size % 2 = 0 THEN '2024-05-04T10:00:00.120000+00:00' ELSE '2024-05-04T00:00:00' END AS date_posted, p_type || 'x' AS job_description
     FROM part WHERE p_size <> 50""",
 )
 def smartrecruiters_records(spark, sf_dir):
@@ -291,8 +290,7 @@ def smartrecruiters_records(spark, sf_dir):
     )
     out = N.smartrecruiters_records(listing, detail)
     return out.select(
-        "title", "job_id", "city", "state", "country", "work_type", "employment_type", "date_posted_text", "date_posted",
-        F.regexp_replace("job_description", " +", " ").alias("job_description"),
+        "title", "job_id", "city", "state", "country", "work_type", "employment_type", "date_posted_text", "date_posted", "job_description",
     )
 
 
@@ -300,7 +298,7 @@ def smartrecruiters_records(spark, sf_dir):
     "generic_records",
     """SELECT page_id AS job_id, coalesce(nullif(trim(title), ''), 'none') AS title, 'de' AS city, 'NATION_3' AS country, 'N3' AS country_code,
       'Contract' AS employment_type, CASE WHEN page_id % 2 = 0 THEN 'Hybrid' ELSE 'none' END AS work_type, '10-20' AS salary_range,
-      '2024-02-03T00:00:00' AS date_posted, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/apply?x=1&y=2' AS apply_url
+      'Part oneof ' || page_id || 'é…' AS job_description, '2024-02-03T00:00:00' AS date_posted, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/apply?x=1&y=2' AS apply_url
     FROM (SELECT CAST(page_id AS VARCHAR) AS job_id, page_id, url,
       replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages)""".replace(
         "page_id AS job_id, coalesce", "job_id, coalesce"
@@ -311,7 +309,8 @@ def generic_records(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     pid = F.col("page_id").cast("string")
     extra = F.concat(
-        F.lit('<h2>later heading</h2><p class="pay salary-range">10-20</p><span class="job-location">de, NATION_3</span>'),
+        F.lit('<h2>later heading</h2><p class=salary-range title="over > under">10-20</p><span class="job-location">de, NATION_3</span>'),
+        F.lit("<div title='a > b' class='long job-description'><div>Part <i>one</i></div><p>of "), pid, F.lit("&eacute;&hellip;</p></div>"),
         F.when(F.col("page_id") % 2 == 0, '<div class="work-type">Hybrid</div>').otherwise(""),
         F.lit('<em class="job-type"><b>Contract</b></em><div class="posted-date">3 Feb 2024</div>'),
         F.lit('<a class="btn apply" href="/apply?x=1&amp;y=2">Apply</a>'),
@@ -323,7 +322,7 @@ def generic_records(spark, sf_dir):
     return out.select(
         *_filled(
             "job_id", "title", "city", "country", "country_code", "employment_type", "work_type", "salary_range",
-            "date_posted", "apply_url",
+            "date_posted", "apply_url", "job_description",
         )
     )
 
