@@ -19,6 +19,7 @@ met in none of 32 bands with chance 5e-6; sets of a few shingles share bands mor
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,6 +302,32 @@ def _per_document(out: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the smallest of each component, and those without a doc_id."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that stay, with all columns of ``docs``: one row of each component.
+
+    That is the row of the smallest doc_id, null last; rows that share it go by a hash of their text,
+    and of equal rows any one stays. Every row is judged by its own text, so a doc_id that holds two
+    texts may lose one of them. Defined results: null and empty texts and texts of white space all
+    stay; an empty table gives no rows. Columns may have any names.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    given = [F.col(f"_row.`{c}`") for c in docs.columns]
+    rows = docs.select(row).select("_row", F.col("_row.doc_id").cast("long").alias("id"), F.col("_row.text").cast("string").alias("words"))
+    if not rows.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count():
+        gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
+        return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*given)
+    # doc_ids don't name texts here: a hash does, the first that tells all texts apart
+    for seed in itertools.count():
+        own, other = F.xxhash64(F.lit(seed), "words"), F.xxhash64(F.lit(-1 - seed), "words")
+        ids = scratch.table(f"ids-{seed}", rows.select("id", own.alias("key"), other.alias("other")))
+        if not ids.groupBy("key").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").limit(1).count():
+            break
+    rows = rows.withColumn("key", own)
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("words").alias("text")))
+    found = scratch.table("found", found.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct())
+    best = ids.join(found.where("n_shingles > 0"), "key").groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "key")).alias("best"))
+    best = best.select(F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"))
+    stay = rows.join(best, (F.col("key") == F.col("best_key")) & F.col("id").eqNullSafe(F.col("best_id")), "left_semi")
+    stay = stay.groupBy("id", "key").agg(F.first("_row").alias("_row"))
+    empty = rows.join(found.where("n_shingles = 0").select(F.col("key").alias("of")), F.col("key") == F.col("of"), "left_semi")
+    return stay.select("_row").union(empty.select("_row")).select(*given)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlspark.llm.scratch import Scratch
-from crawlspark.llm.vectors import matrix, sample, unit, usable
+from crawlspark.llm.vectors import lengths, matrix, sample, unit, usable, width
 
 DIMENSIONS = 12
 CONFIDENCE = 0.99
@@ -75,8 +75,15 @@ def cell_of(points: np.ndarray, heap: list[tuple[int, float]]) -> np.ndarray:
     return at - len(heap)
 
 
-def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, projection: np.ndarray, k: int, confidence: float):
-    """(query row, vec_id, cosine) of the k best rows found for each query, its own id aside."""
+#: Projections of equal vectors differ by less than this, squared.
+_ROUNDING = 1e-9
+
+
+def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, projection: np.ndarray, k: int, confidence: float, sizes: tuple[np.ndarray, np.ndarray]):
+    """(query row, vec_id, cosine) of the k best rows found for each query, its own id aside.
+
+    ``sizes`` are the lengths of the queries' and the rows' vectors; only equal ones are compared.
+    """
     uq, ur = unit(queries), unit(rows)
     pq, pr = uq @ projection, ur @ projection
     leaves = split(pr, LEAF)
@@ -89,11 +96,12 @@ def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarr
         best_id, best = np.empty(0, np.int64), np.empty(0)
         for start in range(0, len(order), _LEAVES):
             # squared distance of unit vectors is 2 - 2 * cosine
-            if len(best) >= k and distance[order[start]] > stop * max(0.0, 2 - 2 * best[k - 1]):
+            if len(best) >= k and distance[order[start]] > stop * max(0.0, 2 - 2 * best[k - 1]) + _ROUNDING:
                 break
             near = np.concatenate([leaves[x] for x in order[start : start + _LEAVES]])
-            near = near[ids[near] != own[n]]
-            cosine = np.concatenate([best, ur[near] @ uq[n]])
+            near = near[(ids[near] != own[n]) & (sizes[1][near] == sizes[0][n])]
+            # row by row, so equal vectors have equal scores wherever they stand
+            cosine = np.concatenate([best, (ur[near] * uq[n]).sum(1)])
             found = np.concatenate([best_id, ids[near]])
             top = np.lexsort((found, -cosine))[:k]
             best_id, best = found[top], cosine[top]
@@ -104,20 +112,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, dimensions: int =
     """The k nearest rows found for every query: query_id, rank, vec_id, score (cosine in double precision).
 
     Defined results: vectors without a cosine (see ``usable``) take no part, so a query without one
-    has no rows; fewer candidates than k are all returned; ties go to the smaller vec_id; an empty
+    has no rows; vectors of another length than the query's are no candidates; fewer candidates than k are all returned; ties go to the smaller vec_id; an empty
     table gives no rows. Other columns are not read.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
     rows = scratch.table("rows", usable(vectors))
-    fitted = sample(rows)
+    dims = width(rows) or 1
+    fitted = sample(rows, dims)
     total = rows.count()
-    dims = fitted.shape[1] if len(fitted) else 1
     projection = np.random.default_rng(SEED).standard_normal((dims, dimensions))
     heap = fit_cells(fitted @ projection, min(max(1, len(fitted) // 64), -(-total // block))) if len(fitted) else []
 
     def place(batches):
         for batch in batches:
-            at = cell_of(unit(matrix(batch.column("embedding"))) @ projection, heap) if batch.num_rows else np.empty(0, np.int64)
+            at = cell_of(unit(matrix(batch.column("embedding"), dims)) @ projection, heap) if batch.num_rows else np.empty(0, np.int64)
             yield batch.append_column("cell", pa.array(at))
 
     placed = scratch.table("placed", rows.mapInArrow(place, "vec_id long, embedding array<double>, cell long"))
@@ -138,7 +146,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, dimensions: int =
         out = {"query_id": [], "vec_id": [], "score": []}
         if q.num_rows and r.num_rows:
             own = q.column("vec_id").to_numpy()
-            for n, ids, score in search(matrix(q.column("embedding")), own, matrix(r.column("embedding")), r.column("vec_id").to_numpy(), projection, k, confidence):
+            for n, ids, score in search(matrix(q.column("embedding"), dims), own, matrix(r.column("embedding"), dims), r.column("vec_id").to_numpy(), projection, k, confidence, (lengths(q.column("embedding")), lengths(r.column("embedding")))):
                 out["query_id"].append(np.full(len(ids), own[n])), out["vec_id"].append(ids), out["score"].append(score)
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pa.table({c: np.concatenate([np.empty(0, kinds[c]), *v]) for c, v in out.items()})

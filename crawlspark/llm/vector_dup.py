@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crawlspark.llm.components import components
 from crawlspark.llm.scratch import Scratch
-from crawlspark.llm.vectors import matrix, sample, unit, usable
+from crawlspark.llm.vectors import lengths, matrix, sample, unit, usable, width as width_of
 
 THRESHOLD = 0.95
 TILE = 4096
@@ -73,7 +73,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """One row per vector: vec_id, n_links, component_id, kept.
 
     n_links counts other vectors at cosine >= threshold, component_id is the smallest vec_id
-    reachable, kept tells whether it is the vector's own. Defined results: vectors without a cosine
+    reachable, kept tells whether it is the vector's own; only vectors of one length are compared. Defined results: vectors without a cosine
     (see ``usable``) link with nothing and stay; a null vec_id has a null component and stays; an
     empty table gives no rows. Other columns are not read.
     """
@@ -81,7 +81,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     rows = scratch.table("rows", usable(vectors).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")}))
     classes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
     classes = scratch.table("classes", classes)
-    fitted = sample(classes.select(F.col("id").alias("vec_id"), "embedding"))
+    dims = width_of(classes)
+    fitted = sample(classes.select(F.col("id").alias("vec_id"), "embedding"), dims)
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not len(fitted):
         return found.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -94,7 +95,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     def place(batches):
         for batch in batches:
-            at = np.searchsorted(cuts, unit(matrix(batch.column("embedding"))) @ axes[:, 0], "right") if batch.num_rows else np.empty(0, int)
+            at = np.searchsorted(cuts, unit(matrix(batch.column("embedding"), dims)) @ axes[:, 0], "right") if batch.num_rows else np.empty(0, int)
             yield batch.append_column("range", pa.array(at.astype(np.int32)))
 
     placed = classes.select("id", "n", "embedding").mapInArrow(place, "id long, n long, embedding array<double>, range int")
@@ -121,8 +122,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         shift = 0 if same else a.num_rows
         n, pairs = np.zeros(len(ids), np.int64), []
         if a.num_rows and b.num_rows:
-            for i, j in _links(matrix(a.column("embedding")), matrix(b.column("embedding")), axes, threshold, same):
-                j = j + shift
+            sizes = lengths(a.column("embedding")), lengths(b.column("embedding"))
+            for i, j in _links(matrix(a.column("embedding"), dims), matrix(b.column("embedding"), dims), axes, threshold, same):
+                alike = sizes[0][i] == sizes[1][j]
+                i, j = i[alike], j[alike] + shift
                 n += np.bincount(i, weights[j], len(ids)).astype(np.int64) + np.bincount(j, weights[i], len(ids)).astype(np.int64)
                 pairs.append((i, j))
         some = n > 0
