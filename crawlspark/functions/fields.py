@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -18,46 +19,45 @@ _WORDED = (
     r"([A-Za-z]{3,9}\.? [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} [A-Za-z]{3,9}\.?,? [0-9]{4}"
     r"|[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 )
-_FORMATS = ("MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy-M-d", "M/d/yyyy")
+_MONTHS = {name.lower(): k for names in (calendar.month_name, calendar.month_abbr) for k, name in enumerate(names) if name}
 
 
 def _iso_parts(text: Column) -> Column:
-    """ISO text normalised to seconds, fraction only when not zero, offset kept."""
-    day = F.regexp_extract(text, _ISO, 1)
-    minutes = F.regexp_extract(text, _ISO, 2)
+    """struct<day, time, rest> of ISO text: seconds filled in, fraction only when not zero, offset kept."""
     seconds = F.regexp_extract(text, _ISO, 3)
     fraction = F.rpad(F.regexp_extract(text, _ISO, 4), 6, "0")
     offset = F.regexp_extract(text, _ISO, 5)
-    time = F.concat(
-        F.when(minutes == "", "00:00").otherwise(minutes),
-        F.lit(":"),
-        F.when(seconds == "", "00").otherwise(seconds),
-    )
-    real = F.try_to_timestamp(F.concat(day, F.lit(" "), time), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
-    zone = F.when(offset == "Z", "+00:00").otherwise(
-        F.regexp_replace(offset, "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    )
-    micros = F.when(fraction.rlike("[1-9]"), F.concat(F.lit("."), fraction)).otherwise("")
-    return F.when(real, F.concat(day, F.lit("T"), time, micros, zone))
+    time = let(F.regexp_extract(text, _ISO, 2), lambda m: F.concat(F.when(m == "", "00:00").otherwise(m), F.lit(":"), F.when(seconds == "", "00").otherwise(seconds)))
+    zone = let(offset, lambda o: F.when(o == "Z", "+00:00").otherwise(F.regexp_replace(o, "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")))
+    micros = let(fraction, lambda f: F.when(f.rlike("[1-9]"), F.concat(F.lit("."), f)).otherwise(""))
+    return F.struct(F.regexp_extract(text, _ISO, 1).alias("day"), time.alias("time"), F.concat(micros, zone).alias("rest"))
 
 
-def _worded(text: Column) -> Column:
-    found = F.regexp_replace(F.regexp_extract(text, _WORDED, 1), r"[.,]", "")
-    plain = F.regexp_replace(found, "^([0-9]{4})/([0-9]{1,2})/", "$1-$2-")
+def _worded_parts(text: Column) -> Column:
+    """The same struct of the first date in words or figures; the shape tells which part is what."""
+    months = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
 
-    def parsed(t: Column) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in _FORMATS])
+    def day(t: Column) -> Column:
+        named = F.concat_ws("-", F.right(t, F.lit(4)), F.coalesce(F.try_element_at(months, F.lower(F.regexp_extract(t, "[A-Za-z]+", 0))).cast("string"), F.lit("none")), F.regexp_extract(t, "[0-9]+", 0))
+        figures = F.regexp_replace(F.regexp_replace(t, "^([0-9]{4})/([0-9]{1,2})/", "$1-$2-"), "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2")
+        return F.when(t.rlike("[A-Za-z]"), named).otherwise(figures)
 
-    return let(plain, lambda t: F.date_format(parsed(t), "yyyy-MM-dd'T'HH:mm:ss"))
+    found = F.regexp_replace(F.regexp_extract(text, _WORDED, 1), r"[.,]", "")
+    return F.struct(let(found, day).alias("day"), F.lit("00:00:00").alias("time"), F.lit("").alias("rest"))
 
 
 def iso_date(text: Column) -> Column:
     """ISO form of an absolute date within the text, else NULL.
 
     "3 days ago" has no date of its own, so relative text stays NULL and the raw text is
-    what remains.
+    what remains. The text's shape gives year, month and day; one parse then tells whether there is such a day.
     """
-    return F.when(text.rlike(_ISO), _iso_parts(text)).when(text.rlike(_WORDED), _worded(text))
+
+    def known(part: Column) -> Column:
+        stamp = F.try_to_timestamp(F.concat(part["day"], F.lit(" "), part["time"]), F.lit("yyyy-M-d HH:mm:ss"))
+        return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), part["rest"])
+
+    return let(text, lambda t: let(F.when(t.rlike(_ISO), _iso_parts(t)).when(t.rlike(_WORDED), _worded_parts(t)), known))
 
 
 # --- locations --------------------------------------------------------------

@@ -98,7 +98,7 @@ def test_generic_takes_the_first_element_on_the_page(value):
     )
     r = value(PO.generic_detail(L(html), L("https://c.com/us/jobs/77/x")))
     assert (r.title, r.job_id, r.date_posted, r.job_description, r.apply_url) == (
-        "first", "77", "2024-02-01T00:00:00", "d  e", "https://c.com/us/jobs/77/apply")
+        "first", "77", "2024-02-01T00:00:00", "d e", "https://c.com/us/jobs/77/apply")
     bare = value(PO.generic_detail(L("<title>only</title>"), L("https://c.com/x")))
     assert bare.title == "only" and bare.apply_url is None and bare.job_id is None
 
