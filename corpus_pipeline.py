@@ -1,7 +1,8 @@
 """Documents to packed sequences: toxicity, near duplicates, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is
-written as Parquet and read again as the next stage's documents.
+written as Parquet and read again as the next stage's documents. Null texts are empty texts, null and
+shared doc_ids are allowed, an empty table gives no rows, and only the columns of documents are read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Trained models, hashed draws and tokenisers are not SQL; tests hold each stage against a plain version.
+# Trained models, hashed draws and tokenisers are not SQL; tests/llm/test_odd_ids.py holds the stages against plain versions
+# (toxicity against the labels).
 ORACLE_SQL = None
 
 
