@@ -186,15 +186,14 @@ def filter_probes(spark, sf_dir):
     body = F.concat(F.lit('{"offset":'), F.col("seq").cast("string"), F.lit("}"))
     graphql = F.concat(F.lit('{"query":"{jobs{id}}","variables":'), body, F.lit("}"))
     by_url = J.by_priority(lambda k, v: U.with_params(F.col("url"), {k: v}), M.URL_FILTER_PROBES)
-    by_body = J.by_priority(
-        lambda k, v: J.canonical(J.with_member(body, F.lit(k), F.lit(v))), M.BODY_FILTER_PROBES
-    )
-    by_variable = J.by_priority(
-        lambda k, v: J.canonical(J.with_variable(graphql, F.lit(k), F.lit(v))), M.BODY_FILTER_PROBES
-    )
+    by_body = J.member_probes(body, M.BODY_FILTER_PROBES)
+    by_variable = J.variable_probes(graphql, M.BODY_FILTER_PROBES)
     by_post = F.when(F.col("is_graphql"), by_variable).otherwise(by_body)
     tried = seen.select("seq", F.inline(F.when(F.col("method") == "GET", by_url).otherwise(by_post)))
-    return tried.select("seq", F.col("priority").cast("long").alias("priority"), "request")
+    sorted_keys = F.when(F.startswith("request", F.lit("{")), J.canonical(F.col("request")))
+    return tried.select(
+        "seq", F.col("priority").cast("long").alias("priority"), F.coalesce(sorted_keys, "request").alias("request")
+    )
 
 
 # --- scans of stored results ------------------------------------------------
