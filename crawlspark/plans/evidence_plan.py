@@ -242,6 +242,54 @@ def build(
     )
 
 
+def platform_hops(evidence: DataFrame, pages: DataFrame, key: str = "domain", hops: int = 2) -> DataFrame:
+    """Evidence after following links to stored platform pages, with ``platform_hops`` taken.
+
+    A source whose evidence is insufficient and whose page is not on a platform itself moves to the
+    platform page that its page links to, and takes over that page's evidence if it has any source
+    type; from there it goes on while the evidence is insufficient. Pages (key, url, html) and
+    evidence (``build``) hold company and platform pages alike; of several rows of one URL a
+    sufficient one counts, then the smallest key. A page that is not stored ends the way: the
+    source is left there with its own evidence. NULL URLs and pages link to nothing.
+
+    Only URLs and evidence pass the joins. Sources that take no hop get a join key of their own,
+    so they spread over all tasks.
+    """
+    taken = [c for c in evidence.columns if c not in (key, "careers_url", "ats_hint")]
+    sufficient = lambda facts: F.coalesce(facts["sufficient"], F.lit(False))
+    links = pages.select(F.col("url").alias("_url"), H.ats_link(F.col("html"), F.col("url")).alias("_link"))
+    links = K.first_per_key(links, ["_url"], [F.col("_link").asc_nulls_last()])
+    known = evidence.select(
+        F.col("careers_url").alias("_at"), F.struct(*taken).alias("_theirs"), F.col(key).alias("_by")
+    )
+    known = K.first_per_key(known, ["_at"], [sufficient(F.col("_theirs")).desc(), F.col("_by")]).drop("_by")
+    state = evidence.select(key, "careers_url", F.struct(*taken).alias("_own"), F.lit(0).alias("platform_hops"))
+    state = state.withColumn(
+        "_open",
+        ~sufficient(F.col("_own")) & ~F.coalesce(ME.already_on_platform(F.col("careers_url")), F.lit(False)),
+    )
+    stays = F.concat(F.lit("\u0001"), F.col(key).cast("string"))
+    for _ in range(hops):
+        at = F.coalesce(F.when(F.col("_open"), F.col("careers_url")), stays)
+        step = state.withColumn("_from", at).join(links, F.col("_from") == F.col("_url"), "left")
+        moves = F.col("_open") & F.coalesce(F.col("_link") != F.col("careers_url"), F.lit(False))
+        step = step.withColumn("_moves", moves).withColumn("_to", F.coalesce(F.when(moves, F.col("_link")), stays))
+        step = step.join(known, F.col("_to") == F.col("_at"), "left")
+        takes = F.col("_moves") & F.col("_theirs")["source_type"].isNotNull()
+        step = step.select(
+            key,
+            F.when(F.col("_moves"), F.col("_link")).otherwise(F.col("careers_url")).alias("careers_url"),
+            F.when(takes, F.col("_theirs")).otherwise(F.col("_own")).alias("_own"),
+            (F.col("platform_hops") + F.col("_moves").cast("int")).alias("platform_hops"),
+            "_moves",
+        )
+        state = step.withColumn("_open", F.col("_moves") & ~sufficient(F.col("_own"))).drop("_moves")
+    return state.select(
+        key, "careers_url", *[F.col("_own")[c].alias(c) for c in taken],
+        ME.platform_hint(U.authority(F.col("careers_url"))).alias("ats_hint"), "platform_hops",
+    )
+
+
 def learned(evidence: DataFrame, at: Column) -> DataFrame:
     """Patterns to remember: sufficient evidence with a signature."""
     kept = evidence.where(F.col("sufficient") & F.col("signature").isNotNull())

@@ -236,3 +236,42 @@ def test_endpoints_named_in_scripts(spark):
 def test_pdf_has_no_signature(spark):
     assert evidence_of(spark, LINKS, plain=LINKS, content_type="application/pdf").signature is None
     assert evidence_of(spark, LINKS, plain=LINKS).signature is not None
+
+
+HOP = "domain string, careers_url string, source_type string, sufficient boolean, ats_hint string"
+
+
+def test_platform_hops_null_repeated_and_unstored_pages(spark):
+    to = lambda url: f'<a href="{url}">jobs</a>'
+    board = "https://boards.greenhouse.io/acorn"
+    evidence = spark.createDataFrame([
+        ("moves", "https://m.test", "spa_no_api", False, None),
+        ("unknown", "https://u.test", None, None, None),
+        ("done", "https://d.test", "ssr_html", True, None),
+        ("away", "https://a.test", "spa_no_api", False, None),
+        ("hosted", "https://jobs.lever.co/oak", "spa_no_api", False, None),
+        ("no_url", None, None, False, None),
+        ("loop", "https://l.test", None, False, None),
+        ("b1", board, "spa_no_api", False, None),
+        ("b2", board, "rest_api", True, None),
+        ("l1", board + "/loop", None, False, None),
+    ], HOP)
+    pages = spark.createDataFrame([
+        ("moves", "https://m.test", to(board)), ("unknown", "https://u.test", to(board)),
+        ("done", "https://d.test", to(board)), ("away", "https://a.test", to("https://boards.greenhouse.io/none")),
+        ("hosted", "https://jobs.lever.co/oak", to("https://www.lever.co/")), ("no_url", None, to(board)),
+        ("loop", "https://l.test", to(board + "/loop")), ("l1", board + "/loop", to(board + "/loop")),
+        ("b1", board, None), ("b2", board, ""),
+    ], "domain string, url string, html string")
+    out = {r.domain: r for r in evidence_plan.platform_hops(evidence, pages).collect()}
+    assert len(out) == 10
+    state = lambda d: (out[d].careers_url, out[d].source_type, out[d].sufficient, out[d].platform_hops)
+    assert state("moves") == state("unknown") == (board, "rest_api", True, 1)
+    assert state("done") == ("https://d.test", "ssr_html", True, 0)
+    assert state("away") == ("https://boards.greenhouse.io/none", "spa_no_api", False, 1)
+    assert state("hosted") == ("https://jobs.lever.co/oak", "spa_no_api", False, 0)
+    assert state("no_url") == (None, None, False, 0)
+    assert state("loop") == (board + "/loop", None, False, 1)
+    assert state("b1") == (board, "spa_no_api", False, 0)
+    assert out["moves"].ats_hint and not out["done"].ats_hint
+    assert evidence_plan.platform_hops(evidence.limit(0), pages.limit(0)).count() == 0
