@@ -108,7 +108,7 @@ def materialise(docs: DataFrame, length: int = LENGTH, shard_sequences: int = SH
     placed = placed.withColumn("order", order_of("sequence_id"))
     placed = placed.withColumn("shard", F.floor(F.col("order") / -(-domain // shards)).cast("long"))
     placed = placed.select("sequence_id", "order", "shard", "tokens", "ids_crc32", "packed")
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "order")
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("order")
     folder = scratch.path("shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -192,6 +192,20 @@ def test_training_order_reads_back(spark, odd):
     assert sum(r.tokens for r in got) == sum(len(token_ids(t)) for _, t, _ in odd)
 
 
+def test_slots_follow_a_plain_feistel_sort_in_ranges(spark):
+    rows = [(i, "word " * (700 + 13 * i), "s") for i in range(60)]
+    docs = frame(spark, rows).repartition(5)
+    found = training_order.materialise(docs, shard_sequences=8)[0].collect()
+    ids = np.array(sorted(r.sequence_id for r in found))
+    domain = training_order.SPLITS * training_order.CAPACITY
+    order = training_order.feistel(ids, domain, training_order.KEY)
+    wanted = ids[np.argsort(order)]
+    assert [r.sequence_id for r in sorted(found, key=lambda r: r.slot)] == list(wanted)
+    assert [r.slot for r in sorted(found, key=lambda r: r.slot)] == list(range(len(ids)))
+    shards = [r.shard for r in sorted(found, key=lambda r: r.slot)]
+    assert shards == sorted(shards) and len(set(shards)) > 2
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 1000, 4097])
 def test_feistel_permutes(size):
     slots = training_order.feistel(np.arange(size), size)
