@@ -260,10 +260,19 @@ def ats_link(html: Column, base_url: Column, hosts: Sequence[str] = M.ATS_HOSTS)
 
 def endpoint_literals(text: Column, base_url: Column) -> Column:
     """Quoted URL literals that look like a listing endpoint, absolute, in order of mention."""
+    return absolute_endpoints(raw_endpoint_literals(text), base_url)
+
+
+def raw_endpoint_literals(text: Column) -> Column:
+    """The literals as they stand in the text; no base URL is needed."""
     literals = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(URL_LITERAL), F.lit(1))
-    wanted = F.filter(literals, lambda u: P.is_api_like(u))
+    return F.filter(literals, lambda u: P.is_api_like(u))
+
+
+def absolute_endpoints(literals: Column, base_url: Column) -> Column:
+    """Raw literals made absolute, without tracking hosts and static files."""
     absolute = F.transform(
-        wanted,
+        literals,
         lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u))
         .when(F.startswith(u, F.lit("http")), u)
         .otherwise(U.resolve(base_url, u)),

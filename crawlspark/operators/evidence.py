@@ -17,17 +17,18 @@ FINGERPRINT_FIELDS = (
 )
 
 
-def classify(facts: DataFrame) -> DataFrame:
+def classify(facts: DataFrame, pdf_usable: Column | None = None) -> DataFrame:
     """Evidence columns from the facts of one row per (domain, attempt).
 
     Reads: is_pdf, pdf_text, api_method, api_is_graphql, api_pagination, api_filter,
     n_rendered, n_common, html_pagination, html_filter, rendered (status, mechanism) and
     from_render_service. A record API beats links, links that survive a plain fetch beat
     links that only a browser shows, and a source with neither is a dead end. A PDF is a
-    single static page; one without usable text stays unclassified.
+    single static page; one without usable text stays unclassified. ``pdf_usable`` says so where
+    the facts no longer hold ``pdf_text``.
     """
     has_pdf = F.coalesce(F.col("is_pdf"), F.lit(False))
-    pdf_ok = has_pdf & P.is_usable_pdf_text(F.col("pdf_text"))
+    pdf_ok = has_pdf & (P.is_usable_pdf_text(F.col("pdf_text")) if pdf_usable is None else pdf_usable)
     has_api = F.col("api_method").isNotNull()
     post_graphql = (F.col("api_method") != "GET") & F.coalesce(F.col("api_is_graphql"), F.lit(False))
     has_links = F.coalesce(F.col("n_rendered"), F.lit(0)) > 0

@@ -58,19 +58,24 @@ def script_bundles(
     inline = pages.select(
         key, F.lit(0).alias("source_no"), F.posexplode(H.bundle_urls(F.col("html"), F.col(url))).alias("seq", "bundle_url")
     )
+    first = all_bundles(inline, pages, captures, key, url)
+    order = [F.col("source_no"), F.col("seq")]
+    return first if k is None else K.top_k_per_key(first, [key], order, k)
+
+
+def all_bundles(
+    inline: DataFrame, pages: DataFrame, captures: DataFrame | None, key: str = "domain", url: str = "url"
+) -> DataFrame:
+    """Script URLs found in pages (key, source_no, seq, bundle_url) and captured ones, each at its first place."""
     out = inline
     if captures is not None:
         sites = pages.select(key, U.registrable_domain(U.host(F.col(url))).alias("_site"))
-        seen = K.attach(captures.select(key, "seq", F.col("url").alias("bundle_url")), sites, [key])
         bare = F.lower(F.substring_index("bundle_url", "?", 1))
-        seen = seen.where(
-            F.endswith(bare, F.lit(".js"))
-            & (F.col("_site") != "")
-            & F.contains(U.host(F.col("bundle_url")), F.col("_site"))
-        )
+        # Only scripts meet the sites.
+        seen = captures.select(key, "seq", F.col("url").alias("bundle_url")).where(F.endswith(bare, F.lit(".js")))
+        seen = K.attach(seen, sites, [key])
+        seen = seen.where((F.col("_site") != "") & F.contains(U.host(F.col("bundle_url")), F.col("_site")))
         out = inline.unionByName(
             seen.select(key, F.lit(1).alias("source_no"), F.col("seq").cast("int").alias("seq"), "bundle_url")
         )
-    order = [F.col("source_no"), F.col("seq")]
-    first = K.first_per_key(out, [key, "bundle_url"], order)
-    return first if k is None else K.top_k_per_key(first, [key], order, k)
+    return K.first_per_key(out, [key, "bundle_url"], [F.col("source_no"), F.col("seq")])

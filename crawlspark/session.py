@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "crawlspark", **conf: str) -> SparkSession:
@@ -44,3 +44,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="crawlspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/crawlspark/{purpose}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame's rows, written once to the shared folder and read back: plans after it start there."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

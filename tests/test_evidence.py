@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +277,44 @@ def test_platform_hops_null_repeated_and_unstored_pages(spark):
     assert state("b1") == (board, "spa_no_api", False, 0)
     assert out["moves"].ats_hint and not out["done"].ats_hint
     assert evidence_plan.platform_hops(evidence.limit(0), pages.limit(0)).count() == 0
+
+
+def test_bodies_end_at_the_scan(spark, capsys):
+    """After the facts no shuffle carries HTML, PDF text or bodies, and pages, captures and probes are not read again."""
+    pages = spark.createDataFrame(
+        [("d", "https://shop.example/careers", 200, LINKS, [], "text/html", "t", False)],
+        "domain string, url string, status int, html string, interactions array<struct<action:string,target:string>>, "
+        "content_type string, pdf_text string, from_render_service boolean",
+    )
+    plain = spark.createDataFrame([("d", LINKS)], "domain string, html string")
+    cap = spark.createDataFrame([], "domain string, seq int, url string, method string, request_body string, body string")
+    prb = spark.createDataFrame([], "domain string, kind string, trial string, status int, body string")
+    evidence_plan.build(pages, plain, cap, prb, spark.createDataFrame([], PATTERN)).explain("formatted")
+    sections = capsys.readouterr().out.split("\n\n")
+    inputs = {True: [], False: []}
+    for section in sections:
+        head, _, rest = section.strip().partition("\n")
+        inputs["Exchange" in head].append((head, rest))
+    assert inputs[True]
+    for _, rest in inputs[True]:
+        assert not re.search(r"\b(html|body|pdf_text|request_body|response_json|json_body|items)#", rest), rest
+    read = [rest for head, rest in inputs[False] if "Scan" in head]
+    assert read and not any(re.search(r"\b(body|pdf_text|interactions)#", rest) for rest in read)
+
+
+def test_facts_of_payloads(spark):
+    """Equal items in another order and spelling give equal sets; tracking hosts, forms and broken bodies give none."""
+    rows = [
+        ("d", 1, "https://x.example/api", "get", None, '{"jobs":[{"id":1,"title":"a"},{"title":"b","id":2}]}'),
+        ("d", 2, "https://x.example/api", "GET", "a=1", '[{"title":"b","id":2},{"title":"a","id":1},{"id":1,"title":"a"}]'),
+        ("d", 3, "https://www.hotjar.com/api", "GET", None, '[{"id":1,"title":"a"}]'),
+        ("d", 4, "https://x.example/api", "POST", '{"offset":0,"limit":2}', '[{"id":1,"title":"a"}]'),
+        (None, 5, None, None, None, None), ("d", 6, "https://x.example/api", "POST", "{", "[{"),
+    ]
+    cap = spark.createDataFrame(rows, "domain string, seq int, url string, method string, request_body string, body string")
+    got = {r.seq: r for r in evidence_plan.capture_facts(cap).collect()}
+    assert [got[s].n_items for s in range(1, 7)] == [2, 3, 0, 1, 0, 0]
+    assert set(map(bytes, got[1].hashes)) == set(map(bytes, got[2].hashes)) and len(got[2].hashes) == 2
+    assert all(len(h) == 16 for h in got[1].hashes) and got[1].shape == "id,title"
+    assert (got[4].moved, got[1].moved, got[6].moved) == ("offset/limit", None, None)
+    assert [bool(got[s].has_json_body) for s in (2, 4, 6)] == [False, True, False]
