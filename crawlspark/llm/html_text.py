@@ -7,7 +7,8 @@ the outermost article and main elements, whole, or the body if there are none. R
 elements that are never content (menus, headers, footers, scripts) are left out by name, and within an
 article element every other line stays. Forms, and blocks whose class or id says
 advert, notice, sidebar, comments, are only candidates: one that holds an article, a main, an h1 or a
-cluster of its own stays. A region goes only if it has no cluster of its own and is mostly links or
+cluster of its own stays; those that say comments, sidebar or advert go also with clusters and articles, unless the page
+has no other. A region goes only if it has no cluster of its own and is mostly links or
 stands in a candidate.
 """
 
@@ -41,6 +42,9 @@ _NOISE = re.compile(
     r"recommend\w*|widget|pagination|pager|login|signup)(?:$|[_-])",
     re.I,
 )
+# Of these, blocks that go however long their texts are, and names of frames around a page that only mention one.
+_AROUND = re.compile(r"(?:^|[_-])(?:comments?|respond|replies|disqus|side-?bar|ads?|advert\w*|sponsor\w*|promo\w*)(?:$|[_-])", re.I)
+_FRAME = re.compile(r"(?:^|[_-])(?:layout|wrap|wrapper|container|grid|row|page|site|content|main|free|enabled|disabled|open|closed|count|off|on)(?:$|[_-])", re.I)
 _HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
 _ABOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no)$|(?:^|[_-])(?:has|with|without|no)[_-]", re.I)  # the name says what is beside or absent
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
@@ -57,6 +61,15 @@ def _noise(names: str, headers: bool) -> bool:
     return False
 
 
+@functools.lru_cache(4096)
+def _beside(names: str) -> bool:
+    """Whether a class or id names reader comments, a sidebar or an advert, and not a frame or what is absent."""
+    for name in names.split():
+        if (found := _AROUND.search(name)) and not _FRAME.search(name) and not _ABOUT.search(name[: found.start()]):
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
     """Lines of a page: (parts, tags, region) with region the outermost article or main element, 0 for none.
 
@@ -69,6 +82,9 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, region, candidate
         self.outer = [0]  # of each candidate, the candidate around it
         self.stays = [True]  # it holds an article, a main or an h1
+        self.beside = [False]  # it is named reader comments, sidebar or advert, or stands in one that is
+        self.articles = [False]  # such a one holds an article
+        self.alone = True  # no article or main stands outside of these
         self.named = [False]  # of each region, whether it stands in a candidate
         self.left_out = self.linked = self.tags = 0
         self.held: list[tuple[str, int, bool]] = []
@@ -102,14 +118,22 @@ class _Lines(HTMLParser):
         region, candidate = self.region, self.candidate
         if not self.left_out and not out:
             names = f"{named.get('class') or ''} {(tag not in _HEADINGS and named.get('id')) or ''}"  # a heading's id is its words
-            if tag == "form" or role == "form" or tag not in ("html", "body", *_REGIONS) and _noise(names, not region):
+            beside = tag not in ("html", "body", "main") and _beside(names)
+            if tag == "form" or role == "form" or beside or tag not in ("html", "body", *_REGIONS) and _noise(names, not region):
                 self.outer.append(candidate)
                 self.stays.append(False)
+                self.beside.append(beside or self.beside[candidate])
+                self.articles.append(False)
                 candidate = len(self.outer) - 1
+            if tag in _REGIONS:
+                self.alone &= self.beside[candidate]
             if tag == "h1" or tag in _REGIONS:
                 around = candidate
                 while not self.stays[around]:
-                    self.stays[around] = True
+                    if tag == "article" and self.beside[around]:
+                        self.articles[around] = True
+                    else:
+                        self.stays[around] = True
                     around = self.outer[around]
         if tag in _REGIONS and not region and not self.left_out:
             self.named.append(candidate > 0)
@@ -162,10 +186,25 @@ def _smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int, int]]:
     """(text, tags, region, length of link texts) of the lines, without candidates that hold no article, main, h1 or cluster.
 
+    Candidates named reader comments, sidebar or advert go whatever cluster or article they hold, but
+    for those with articles on pages without any other article or main, and on pages of nothing else.
+    """
+    for k, holds in enumerate(parser.articles):
+        if holds and parser.alone:
+            while not parser.stays[k]:
+                parser.stays[k] = True
+                k = parser.outer[k]
+    lines = _kept_lines(parser, sigma, parser.beside)
+    return lines if lines or not any(parser.beside) else _kept_lines(parser, sigma, [False] * len(parser.beside))
+
+
+def _kept_lines(parser: _Lines, sigma: float, beside: list[bool]) -> list[tuple[str, int, int, int]]:
+    """Lines without candidates that are ``beside`` the content or have no cluster.
+
     A candidate's cluster is judged by its own text: ratios of its lines, all other lines as zero,
     smoothed, reach half the page's mean ratio somewhere.
     """
-    stays, outer = parser.stays, parser.outer
+    stays, outer = list(parser.stays), parser.outer
     if not all(stays):
         sizes = [[len(_SPACE.sub(" ", text).strip()) for text, *_ in parts] for parts, _, _ in parser.lines]
         tags = np.array([max(1, tags) for _, tags, _ in parser.lines])
@@ -184,7 +223,7 @@ def _without_noise(parser: _Lines, sigma: float) -> list[tuple[str, int, int, in
             ratios = np.zeros(last - first)
             for k, n in held.items():
                 ratios[k - first] = n / tags[k]
-            stays[candidate] = bool(_smoothed(ratios, sigma).max() >= least)
+            stays[candidate] = not beside[candidate] and bool(_smoothed(ratios, sigma).max() >= least)
     gone = [False] * len(stays)
     for candidate in range(1, len(stays)):
         gone[candidate] = not stays[candidate] or gone[outer[candidate]]

@@ -115,6 +115,30 @@ def test_regions_stay_whole(html, kept, gone):
     assert set(kept) <= set(lines) and not any(word in line for word in gone for line in lines)
 
 
+TOP = "<article><h1>T</h1>" + PARAGRAPH * 3
+READERS = "".join(f"<div class=who><b>Reader {k}</b>" + "<p>a long opinion of a reader " + LONG + "</p></div>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        (TOP + "<div class=comments>" + READERS + "</div></article>", ["T"], ["opinion", "Reader"]),
+        (TOP + "</article><section id=post-comments>" + READERS.replace("div", "article") + "</section>", ["T"], ["opinion", "Reader"]),
+        (TOP + "</article>" + READERS.replace("div class=who", "article class='comment depth-1'").replace("/div", "/article"), ["T"], ["opinion"]),
+        ("<main>" + TOP + "</article><div class=sidebar><article><h3>Side</h3>" + PARAGRAPH * 4 + "</article></div></main>", ["T"], ["Side"]),
+        (TOP + "<div class='advert-box'><p>buy it " + LONG + "</p></div><p>after</p></article>", ["T", "after"], ["buy it"]),
+        ("<div class='sidebar left'><article><p>only this</p></article></div>", ["only this"], []),
+        ("<div class=comments>" + PARAGRAPH * 4 + "</div>", [LONG.strip()], []),
+        ("<div class='sidebar-layout'>" + PARAGRAPH * 4 + "</div><div class=sidebar><p>side " + LONG + "</p></div>", [LONG.strip()], ["side "]),
+        ("<div class=sidebar><h1>T</h1>" + PARAGRAPH + "</div>" + PARAGRAPH * 3, ["T"], []),
+        (TOP + "<p class=comment-count>3 replies</p><section class='commentary'><p>C.</p></section></article>", ["T", "C."], []),
+    ],
+)
+def test_comments_sidebars_and_adverts_go_however_long(html, kept, gone):
+    lines = html_text.main_text(html).split("\n")
+    assert set(kept) <= set(lines) and not any(word in line for word in gone for line in lines)
+
+
 def test_clusters_without_an_article():
     body = "".join(f"<p>{'long words of running text ' * 6}{k}</p>" for k in range(6))
     links = "".join(f"<li><a href=/{k}>x{k}</a></li>" for k in range(30))
