@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlspark import markers as M
 from crawlspark.functions import predicates as P
@@ -48,21 +48,6 @@ def non_blank(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(~F.col(line).rlike(r"^\s*$"))
 
 
-def lines_ahead(
-    lines: DataFrame, firsts: DataFrame, keys: Sequence[str], line: str = "line", line_no: str = "line_no"
-) -> DataFrame:
-    """Per set with a bad line that is not its first: non-blank lines ahead of it.
-
-    ``firsts`` has one ``bad_at`` per set. Lines are counted without parsing them again;
-    only those ahead of a bad line get past the join.
-    """
-    marks = firsts.where(F.col("bad_at").isNotNull()).select(*keys, "bad_at")
-    paired = K.attach(non_blank(lines, line).select(*keys, line_no), marks, keys)
-    return paired.where(F.col(line_no) < F.col("bad_at")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("lines_ahead")
-    )
-
-
 # --- set-wide facts ---------------------------------------------------------
 
 
@@ -106,6 +91,52 @@ def set_facts(
     )
 
 
+def line_facts(
+    typed: DataFrame,
+    keys: Sequence[str],
+    allowed: Sequence[str] = M.ALLOWED_COUNTRY_CODES,
+    fields: Sequence[str] = RECORD_FIELDS,
+    line_no: str = "line_no",
+    width: int = 8192,
+) -> DataFrame:
+    """``set_facts`` of scanned lines plus ``bad_at``, the first bad line's number, and ``lines_ahead``, the lines before it.
+
+    Lines are read once. A first aggregation works on chunks of ``width`` line numbers, so one set with
+    a third of all lines spreads over all tasks; a chunk keeps the numbers of its lines (at most four
+    bytes each) to count those ahead of its own bad line. Chunks, one short row each, are then summed per set.
+    Blank lines are not in ``typed`` and don't count; lines without a number have no place ahead of
+    others; equal numbers are not ahead of each other.
+    """
+    number, code = F.col(line_no), F.col("country_code")
+    rows = typed.withColumn("_chunk", K.span(number, width))
+    offset = (number - F.col("_chunk") * width).cast("int")
+    chunks = rows.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(number).alias("_numbered"),
+        *[F.count(F.col(f)).alias(f"_n_{f}") for f in fields],
+        F.array_sort(F.collect_set(F.when(~code.isin(*allowed), code))).alias("_codes"),
+        F.max(P.has_mojibake(*[F.col(f) for f in fields])).alias("_mojibake"),
+        F.min(F.when(F.col("is_bad"), number)).alias("_bad"),
+        F.min(F.when(F.col("is_bad"), offset)).alias("_bad_offset"),
+        F.collect_list(offset).alias("_offsets"),
+    )
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.expr("size(filter(_offsets, o -> o < _bad_offset))")
+    placed = chunks.withColumn("_inside", F.when(F.col("_bad").isNotNull(), inside)).drop("_offsets").withColumn(
+        "_ahead", F.coalesce(F.sum("_numbered").over(before), F.lit(0)) + F.col("_inside")
+    )
+    first_bad = F.min(F.when(F.col("_bad").isNotNull(), F.struct("_bad", "_ahead")))
+    return placed.groupBy(*keys).agg(
+        F.sum("_rows").alias("row_count"),
+        *[(F.sum(f"_n_{f}") / F.sum("_rows")).alias(_rate(f)) for f in fields],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_codes")))).alias("offending_codes"),
+        F.max("_mojibake").alias("has_mojibake"),
+        first_bad.alias("_first_bad"),
+    ).withColumns(
+        {"bad_at": F.col("_first_bad")["_bad"], "lines_ahead": F.col("_first_bad")["_ahead"]}
+    ).drop("_first_bad")
+
+
 def rates_map(fields: Sequence[str] = RECORD_FIELDS) -> Column:
     return F.create_map(*[x for f in fields for x in (F.lit(f), F.col(_rate(f)))])
 

@@ -23,10 +23,7 @@ def validate_lines(
     any line. One bad line fails its set, whatever the other lines hold.
     """
     typed = Q.scan_lines(lines).select(*keys, "line_no", "is_bad", "record.*")
-    bad_at = F.min(F.when(F.col("is_bad"), F.col("line_no"))).alias("bad_at")
-    facts = Q.set_facts(typed, keys, allowed, also=[bad_at])
-    ahead = Q.lines_ahead(lines, facts.select(*keys, "bad_at"), keys)
-    facts = facts.join(ahead, list(keys), "left")
+    facts = Q.line_facts(typed, keys, allowed)
     if sets is not None:
         facts = sets.join(facts, list(keys), "left")
 
@@ -38,6 +35,6 @@ def validate_lines(
         given("reported_total"),
         given("script_clean"),
         given("output_found"),
-        F.when(F.col("bad_at").isNotNull(), F.coalesce("lines_ahead", F.lit(0))),
+        F.col("lines_ahead"),
         required,
     ).drop("bad_at", "lines_ahead")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,32 @@ def test_exchanges(spark):
 def test_pages_keep_failures(spark):
     df = spark.createDataFrame([("a", None, None), ("b", 200, "<p>")], "url string, status int, html string")
     assert [tuple(r) for r in readers.pages(df).orderBy("url").collect()] == [("a", 0, ""), ("b", 200, "<p>")]
+
+
+@pytest.mark.parametrize("width", [1, 3, 8192])
+def test_line_facts_equal_plain_counts(spark, width):
+    """First bad line, lines ahead of it, rates and codes, for chunks of any width; null keys and numbers, ties."""
+    rng = random.Random(5)
+    rows = []
+    for s in ("a", "b", "c", None):
+        for n in rng.sample(range(40), 25) + [7, 7, None]:
+            rows.append((s, n, rng.random() < (0 if s == "c" else 0.1), rng.choice(["IN", "FR", "US", None]), rng.choice(["x", None])))
+    typed = spark.createDataFrame(rows, "s string, line_no long, is_bad boolean, country_code string, title string")
+    typed = typed.unionByName(typed.limit(0))
+    got = {r.s: r for r in Q.line_facts(typed, ["s"], ["IN"], ["country_code", "title"], width=width).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for s, r in got.items():
+        mine = [x for x in rows if x[0] == s]
+        bad = min((x[1] for x in mine if x[2] and x[1] is not None), default=None)
+        ahead = None if bad is None else sum(x[1] is not None and x[1] < bad for x in mine)
+        assert (r.row_count, r.bad_at, r.lines_ahead) == (len(mine), bad, ahead)
+        assert r._rate_title == sum(x[4] is not None for x in mine) / len(mine)
+        assert r.offending_codes == sorted({x[3] for x in mine} - {"IN", None})
+    assert Q.line_facts(typed.limit(0), ["s"], ["IN"], ["country_code", "title"]).count() == 0
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("s", 1, "{}")], "set_id string, line_no long, line string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    plan = validate_lines(lines, ["set_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
