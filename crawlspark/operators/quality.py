@@ -75,19 +75,14 @@ def set_facts(
     keys: Sequence[str],
     allowed: Sequence[str] = M.ALLOWED_COUNTRY_CODES,
     fields: Sequence[str] = RECORD_FIELDS,
-    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Everything the verdict needs, in one aggregation that combines before its shuffle.
-
-    ``also`` adds aggregates of the caller to the same pass.
-    """
+    """Everything the verdict needs, in one aggregation that combines before its shuffle."""
     code = F.col("country_code")
     return records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("row_count"),
         *[F.avg(F.col(f).isNotNull().cast("double")).alias(_rate(f)) for f in fields],
         F.array_sort(F.collect_set(F.when(~code.isin(*allowed), code))).alias("offending_codes"),
         F.max(P.has_mojibake(*[F.col(f) for f in fields])).alias("has_mojibake"),
-        *also,
     )
 
 
@@ -101,16 +96,30 @@ def line_facts(
 ) -> DataFrame:
     """``set_facts`` of scanned lines plus ``bad_at``, the first bad line's number, and ``lines_ahead``, the lines before it.
 
-    Lines are read once. A first aggregation works on chunks of ``width`` line numbers, so one set with
-    a third of all lines spreads over all tasks; a chunk keeps the numbers of its lines (at most four
-    bytes each) to count those ahead of its own bad line. Chunks, one short row each, are then summed per set.
-    Blank lines are not in ``typed`` and don't count; lines without a number have no place ahead of
-    others; equal numbers are not ahead of each other.
+    Lines are read once, into ``line_chunks``, and these are summed per set. Blank lines are not in
+    ``typed`` and don't count; lines without a number have no place ahead of others; equal numbers are
+    not ahead of each other.
+    """
+    return chunk_facts(line_chunks(typed, keys, allowed, fields, line_no, width), keys, fields)
+
+
+def line_chunks(
+    typed: DataFrame,
+    keys: Sequence[str],
+    allowed: Sequence[str] = M.ALLOWED_COUNTRY_CODES,
+    fields: Sequence[str] = RECORD_FIELDS,
+    line_no: str = "line_no",
+    width: int = 8192,
+) -> DataFrame:
+    """Mergeable facts of scanned lines, one row per set and ``width`` line numbers.
+
+    So one set with a third of all lines spreads over all tasks. A chunk keeps the numbers of its lines,
+    four bytes each, to count those ahead of its first bad line.
     """
     number, code = F.col(line_no), F.col("country_code")
     rows = typed.withColumn("_chunk", K.span(number, width))
     offset = (number - F.col("_chunk") * width).cast("int")
-    chunks = rows.groupBy(*keys, "_chunk").agg(
+    return rows.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count(number).alias("_numbered"),
         *[F.count(F.col(f)).alias(f"_n_{f}") for f in fields],
@@ -120,6 +129,22 @@ def line_facts(
         F.min(F.when(F.col("is_bad"), offset)).alias("_bad_offset"),
         F.collect_list(offset).alias("_offsets"),
     )
+
+
+def merge_chunks(parts: DataFrame, keys: Sequence[str], fields: Sequence[str] = RECORD_FIELDS) -> DataFrame:
+    """Chunks of several reads of a set as one row each."""
+    return parts.groupBy(*keys, "_chunk").agg(
+        *[F.sum(c).alias(c) for c in ("_rows", "_numbered", *[f"_n_{f}" for f in fields])],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_codes")))).alias("_codes"),
+        F.max("_mojibake").alias("_mojibake"),
+        F.min("_bad").alias("_bad"),
+        F.min("_bad_offset").alias("_bad_offset"),
+        F.flatten(F.collect_list("_offsets")).alias("_offsets"),
+    )
+
+
+def chunk_facts(chunks: DataFrame, keys: Sequence[str], fields: Sequence[str] = RECORD_FIELDS) -> DataFrame:
+    """``line_facts`` from chunks, each there once; a window sees one short row per chunk."""
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.expr("size(filter(_offsets, o -> o < _bad_offset))")
     placed = chunks.withColumn("_inside", F.when(F.col("_bad").isNotNull(), inside)).drop("_offsets").withColumn(

@@ -22,8 +22,18 @@ def validate_lines(
     ``sets`` may bring reported_total, script_clean and output_found, and sets without
     any line. One bad line fails its set, whatever the other lines hold.
     """
-    typed = Q.scan_lines(lines).select(*keys, "line_no", "is_bad", "record.*")
-    facts = Q.line_facts(typed, keys, allowed)
+    return verdicts(Q.line_facts(typed_lines(lines, keys), keys, allowed), keys, sets, required)
+
+
+def typed_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Non-blank lines as typed records, with their number and ``is_bad``."""
+    return Q.scan_lines(lines).select(*keys, "line_no", "is_bad", "record.*")
+
+
+def verdicts(
+    facts: DataFrame, keys: Sequence[str], sets: DataFrame | None = None, required: Sequence[str] = M.REQUIRED_FIELDS
+) -> DataFrame:
+    """Verdict per record set from ``quality.line_facts``."""
     if sets is not None:
         facts = sets.join(facts, list(keys), "left")
 

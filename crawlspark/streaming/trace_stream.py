@@ -10,8 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crawlspark import markers as M
 from crawlspark.operators import evidence as E
+from crawlspark.operators import quality as Q
 from crawlspark.operators import trace as TR
-from crawlspark.plans.record_plan import validate_lines
+from crawlspark.plans.record_plan import typed_lines, verdicts
 from crawlspark.sources import readers
 
 
@@ -129,26 +130,29 @@ def check_record_sets(
 ):
     """Validate arriving record lines with the batch operators; a set may spread over micro-batches.
 
-    Every batch keeps its lines below ``path/lines``, in folders by hash of the set, and restates
-    the verdict of the sets it brought lines of from all their lines so far, below
-    ``path/reports``: ``latest`` gives the standing verdicts. A replayed batch replaces its own
-    folders, so nothing counts twice. Blank and bad lines count as in ``validate_lines``.
+    Every batch reads its own lines only, once, and keeps mergeable facts of them
+    (``quality.line_chunks``) below ``path/facts``, in folders by hash of the set. It restates the
+    verdict of the sets it brought lines of from all their facts so far, below ``path/reports``:
+    ``latest`` gives the standing verdicts. A replayed batch replaces its own folders, so nothing
+    counts twice. Blank and bad lines count as in ``validate_lines``.
     """
     columns = [*keys, "line_no", "line"]
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        kept = batch.select(*columns, bucket.alias("bucket")).hint("rebalance", "bucket")
-        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lines/batch={batch_id}")
-        schema = batch.select(*columns).schema.add("batch", "long").add("bucket", "integer")
-        log = spark.read.schema(schema).parquet(f"{path}/lines").where(F.col("batch") <= batch_id)
+        facts = Q.line_chunks(typed_lines(batch.select(*columns), keys), keys)
+        kept = facts.withColumn("bucket", bucket).hint("rebalance", "bucket")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/facts/batch={batch_id}")
+        schema = facts.select("*").schema.add("batch", "long").add("bucket", "integer")
+        log = spark.read.schema(schema).parquet(f"{path}/facts").where(F.col("batch") <= batch_id)
         touched = log.where(F.col("batch") == batch_id).select("bucket", *keys).distinct()
-        touched = touched.select(*[F.col(c).alias(f"_{c}") for c in touched.columns])
-        same = log["bucket"] == touched["_bucket"]
+        touched = touched.select(*[F.col(c).alias(f"_key_{c}") for c in touched.columns])
+        same = log["bucket"] == touched["_key_bucket"]
         for k in keys:
-            same = same & log[k].eqNullSafe(touched[f"_{k}"])
-        report = validate_lines(log.join(touched, same, "left_semi").select(*columns), keys, required=required)
+            same = same & log[k].eqNullSafe(touched[f"_key_{k}"])
+        merged = Q.merge_chunks(log.join(touched, same, "left_semi"), keys)
+        report = verdicts(Q.chunk_facts(merged, keys), keys, required=required)
         report.select(
             *keys, "passed", F.col("row_count").cast("long").alias("row_count"), "failure_category", "details",
             F.lit(batch_id).cast("long").alias("batch_id"),

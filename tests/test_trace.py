@@ -130,3 +130,4 @@ def test_record_sets_over_several_batches_equal_the_batch_report(spark, tmp_path
     columns = ["set_id", "passed", "row_count", "failure_category", "details"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
     assert spark.read.parquet(str(tmp_path / "out" / "reports")).select("batch_id").distinct().count() == 3
+    assert not {"line", "title"} & set(spark.read.parquet(str(tmp_path / "out" / "facts")).columns)
