@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """The same rows dealt evenly over all cores.
+
+    One task reads a small file or row group, however much work its rows become. For narrow rows that
+    pages or payloads are made of: they pass the shuffle, the text does not.
+    """
+    return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- SQL pieces -------------------------------------------------------------
 
 

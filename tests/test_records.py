@@ -1,10 +1,15 @@
 import json
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlspark.functions import fields as FD
 from crawlspark.functions import postings as PO
 from crawlspark.operators import normalize as N
+from crawlspark.plans import inputs as I
+from crawlspark.plans.registry import QUERIES
+import crawlspark.plans.queries  # noqa: F401  (fills the registry)
 
 L = F.lit
 
@@ -110,3 +115,25 @@ def test_link_record_and_completion(spark, value):
     b = spark.createDataFrame([("t",)], "title string")
     got = N.with_defaults(N.combine([a, b]), {"title": "none"})
     assert {tuple(x) for x in got.select("job_id", "title").collect()} == {("1", "none"), (None, "t")}
+
+
+def test_spread_deals_the_rows_of_one_file_over_all_cores(spark, tmp_path):
+    rows = [(k // 2 if k % 5 else None, "same") for k in range(400)]
+    spark.createDataFrame(rows, "k int, t string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    dealt = I.spread(spark.read.parquet(str(tmp_path / "one"))).withColumn("task", F.spark_partition_id()).collect()
+    tasks = Counter(r.task for r in dealt)
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks.values()) <= 2 * min(tasks.values())
+    assert Counter((r.k, r.t) for r in dealt) == Counter(rows)
+
+
+@pytest.mark.parametrize("name", ["greenhouse_records"])
+def test_pages_made_of_one_file_are_worked_on_by_many_tasks(spark, tmp_path, name):
+    parts = [(k, f"name {k}", "Brand#1", "SMALL", 1 + 3 * (k % 8)) for k in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "NATION_1")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    out = QUERIES[name](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition ") == plan.count("Relation [p_partkey") > 0
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 40 and len(tasks) > 1
