@@ -126,7 +126,7 @@ def test_spread_deals_the_rows_of_one_file_over_all_cores(spark, tmp_path):
     assert Counter((r.k, r.t) for r in dealt) == Counter(rows)
 
 
-@pytest.mark.parametrize("name", ["greenhouse_records", "smartrecruiters_records"])
+@pytest.mark.parametrize("name", ["greenhouse_records", "smartrecruiters_records", "lever_listing", "workday_records"])
 def test_pages_made_of_one_file_are_worked_on_by_many_tasks(spark, tmp_path, name):
     parts = [(k, f"name {k}", "Brand#1", "SMALL", 1 + 3 * (k % 8)) for k in range(40)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(
